@@ -80,3 +80,305 @@ GROUP BY 1, 2"""
 
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
+
+# ------------------------------------------------------------ ticket side
+Q["scan_prepared"] = FACT + """
+SELECT ticket_id, created_dt, month, channel, category, assigned_team, resolved_team, agent_id,
+       source_system, status, transfers, csat_score, rerouted, sla_breach, training_category
+FROM fact"""
+
+Q["typed_scan"] = with_(RAW) + """
+SELECT ticket_id, created_at AS created_dt, first_response_at AS first_response_dt,
+       resolved_at AS resolved_dt_raw, CAST(transfers AS INTEGER) AS transfers,
+       CAST(csat_score AS INTEGER) AS csat_score, channel
+FROM raw"""
+
+Q["dq_orphan_keys"] = """
+SELECT CAST(l_suppkey AS VARCHAR) AS key, count(*)::BIGINT AS n_rows
+FROM lineitem
+WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 90)
+GROUP BY 1"""
+
+Q["dq_bad_domain"] = """
+SELECT o_orderpriority AS value, count(*)::BIGINT AS n_rows FROM orders
+WHERE o_orderpriority IS NOT NULL
+  AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED', '5-LOW')
+GROUP BY 1"""
+
+Q["dq_duplicate_keys"] = """
+SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n_rows FROM lineitem
+GROUP BY 1, 2 HAVING count(*) > 1"""
+
+Q["dq_dim_unique"] = with_(GEO) + """, hist AS (
+  SELECT s_suppkey AS agent_id FROM supplier JOIN geo g1 ON s_nationkey = g1.n_nationkey
+  UNION ALL
+  SELECT s_suppkey FROM supplier JOIN geo g2 ON (s_nationkey + 5) % 25 = g2.n_nationkey)
+SELECT agent_id, count(*)::BIGINT AS n_rows FROM hist GROUP BY 1 HAVING count(*) > 1"""
+
+Q["dq_scope_exclusions"] = with_(RAW) + """
+SELECT count(*)::BIGINT AS n_rows,
+       count(*) FILTER (WHERE created_at < TIMESTAMP '1996-01-01')::BIGINT AS n_before_window,
+       count(*) FILTER (WHERE created_at >= TIMESTAMP '2000-07-01')::BIGINT AS n_after_window,
+       count(*) FILTER (WHERE created_at IS NULL)::BIGINT AS n_unparsed,
+       count(*) FILTER (WHERE created_at >= TIMESTAMP '1996-01-01'
+                          AND created_at < TIMESTAMP '2000-07-01')::BIGINT AS n_in_window
+FROM raw"""
+
+Q["dq_negative_duration"] = with_(RAW) + """
+SELECT 'tickets_resolved_before_created_raw' AS measure,
+       count(*) FILTER (WHERE resolved_at < created_at)::BIGINT AS n FROM raw
+UNION ALL
+SELECT 'tickets_resolved_before_created_repaired',
+       count(*) FILTER (WHERE (CASE WHEN source_system = 'legacy' THEN resolved_at + INTERVAL 330 MINUTE
+                                    ELSE resolved_at END) < created_at)::BIGINT FROM raw
+UNION ALL
+SELECT 'lines_shipped_before_order', count(*) FILTER (WHERE l_shipdate < o_orderdate)::BIGINT
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+Q["dq_null_profile"] = FACT + """, g AS (
+  SELECT source_system, count(*) AS n_rows, count(*) FILTER (WHERE transfers IS NULL) AS n_null,
+         sum(coalesce(transfers, 0)) AS total_filled
+  FROM fact GROUP BY 1)
+SELECT source_system, n_rows::BIGINT AS n_rows, n_null::BIGINT AS n_null, total_filled::BIGINT AS total_filled,
+       round(n_null / n_rows, 6) AS null_share,
+       round(sum(total_filled) OVER () / sum(n_rows) OVER (), 6) AS diluted_rate,
+       round(sum(CASE WHEN source_system = 'helpdesk' THEN total_filled END) OVER ()
+             / sum(CASE WHEN source_system = 'helpdesk' THEN n_rows END) OVER (), 6) AS current_rate
+FROM g"""
+
+Q["dq_post_conditions"] = FACT + """
+SELECT count(*) FILTER (WHERE NOT (created_dt >= TIMESTAMP '1996-01-01'
+                                   AND created_dt < TIMESTAMP '2000-07-01'))::BIGINT AS outside_window,
+       (count(*) - count(DISTINCT ticket_id))::BIGINT AS duplicate_ids,
+       count(*) FILTER (WHERE agent_id IS NOT NULL AND resolved_team IS NULL)::BIGINT AS owner_missing,
+       count(*) FILTER (WHERE sla_target_minutes IS NOT NULL
+                          AND sla_target_minutes NOT IN (43200, 86400, 259200, 525600))::BIGINT AS bad_sla_target
+FROM fact"""
+
+Q["legacy_time_fix"] = FACT + """
+SELECT ticket_id, source_system, resolved_dt_raw, resolved_dt FROM fact"""
+
+Q["window_filter"] = with_(RAW) + """
+SELECT ticket_id, created_at AS created_dt FROM raw
+WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '2000-07-01'"""
+
+Q["monthly_by_category"] = FACT + """
+SELECT month, category, count(*)::BIGINT AS n FROM fact
+WHERE month IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2"""
+
+Q["monthly_by_category_wide"] = FACT + """
+SELECT month,
+  count(*) FILTER (WHERE category = 'AUTOMOBILE')::BIGINT AS "AUTOMOBILE",
+  count(*) FILTER (WHERE category = 'BUILDING')::BIGINT AS "BUILDING",
+  count(*) FILTER (WHERE category = 'FURNITURE')::BIGINT AS "FURNITURE",
+  count(*) FILTER (WHERE category = 'HOUSEHOLD')::BIGINT AS "HOUSEHOLD",
+  count(*) FILTER (WHERE category = 'MACHINERY')::BIGINT AS "MACHINERY"
+FROM fact WHERE month IS NOT NULL AND category IS NOT NULL GROUP BY month"""
+
+Q["monthly_by_team"] = FACT + """
+SELECT month, assigned_team, count(*)::BIGINT AS n FROM fact
+WHERE month IS NOT NULL AND assigned_team IS NOT NULL GROUP BY 1, 2"""
+
+Q["routing_matrix_wide"] = FACT + """
+SELECT assigned_team,
+  count(*) FILTER (WHERE resolved_team = 'AFRICA')::BIGINT AS "AFRICA",
+  count(*) FILTER (WHERE resolved_team = 'AMERICA')::BIGINT AS "AMERICA",
+  count(*) FILTER (WHERE resolved_team = 'ASIA')::BIGINT AS "ASIA",
+  count(*) FILTER (WHERE resolved_team = 'EUROPE')::BIGINT AS "EUROPE",
+  count(*) FILTER (WHERE resolved_team = 'MIDDLE EAST')::BIGINT AS "MIDDLE EAST"
+FROM fact WHERE assigned_team IS NOT NULL AND resolved_team IS NOT NULL GROUP BY assigned_team"""
+
+Q["team_share"] = FACT + """, c AS (
+  SELECT assigned_team, count(*) AS n FROM fact GROUP BY 1),
+tiers AS (SELECT team, max(tier) AS tier FROM agents GROUP BY 1)
+SELECT assigned_team, n::BIGINT AS n, tier, round(n / sum(n) OVER (), 6) AS share,
+       CASE WHEN coalesce(tier, 1) <> 2 THEN
+         CAST(rank() OVER (PARTITION BY coalesce(tier, 1) <> 2 ORDER BY n DESC) AS INTEGER) END AS share_rank
+FROM c LEFT JOIN tiers ON c.assigned_team = tiers.team"""
+
+Q["window_summary"] = FACT + """
+SELECT count(*)::BIGINT AS total_in_scope_tickets,
+       count(*) FILTER (WHERE source_system = 'helpdesk')::BIGINT AS current_helpdesk_tickets,
+       CAST(min(created_dt) AS DATE) AS window_first_date,
+       CAST(max(created_dt) AS DATE) AS window_last_date,
+       count(DISTINCT month)::BIGINT AS n_months
+FROM fact"""
+
+Q["owner_lookup"] = with_(RAW) + """, agents AS (
+  SELECT s_suppkey AS agent_id, n_name AS site, r_name AS team,
+         CASE WHEN r_name = 'MIDDLE EAST' THEN 2 ELSE 1 END AS tier,
+         CASE s_suppkey % 3 WHEN 0 THEN 'Morning' WHEN 1 THEN 'Day' ELSE 'Night' END AS shift
+  FROM supplier JOIN geo ON s_nationkey = n_nationkey)
+SELECT ticket_id, raw.agent_id, team AS resolved_team, tier, site, shift
+FROM raw LEFT JOIN agents USING (agent_id)
+WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '2000-07-01'"""
+
+Q["owner_lookup_asof"] = with_(RAW) + """, hist AS (
+  SELECT s_suppkey AS agent_id, g1.r_name AS team, NULL::DATE AS from_date, DATE '1998-01-01' AS to_date
+  FROM supplier JOIN geo g1 ON s_nationkey = g1.n_nationkey
+  UNION ALL
+  SELECT s_suppkey, g2.r_name, DATE '1998-01-01', NULL::DATE
+  FROM supplier JOIN geo g2 ON (s_nationkey + 5) % 25 = g2.n_nationkey),
+j AS (
+  SELECT raw.*, hist.team AS resolved_team FROM raw LEFT JOIN hist
+    ON raw.agent_id = hist.agent_id
+   AND (hist.from_date IS NULL OR raw.created_at >= hist.from_date)
+   AND (hist.to_date IS NULL OR raw.created_at < hist.to_date)
+  WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '2000-07-01')
+SELECT ticket_id, agent_id, created_at AS created_dt, resolved_team,
+       CASE WHEN assigned_team = resolved_team THEN false ELSE true END AS rerouted,
+       CASE resolved_team WHEN 'ASIA' THEN 'BUILDING' WHEN 'EUROPE' THEN 'MACHINERY'
+                          WHEN 'AFRICA' THEN 'HOUSEHOLD' WHEN 'AMERICA' THEN 'FURNITURE'
+                          ELSE category END AS training_category
+FROM j"""
+
+Q["fallback_lookup"] = """
+WITH fb AS (SELECT l_partkey, l_suppkey, min(l_orderkey) AS fallback_key FROM lineitem GROUP BY 1, 2),
+li AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CASE WHEN l_orderkey % 10 <> 0 THEN l_orderkey END AS order_id FROM lineitem),
+k AS (
+  SELECT li.*, coalesce(order_id, fb.fallback_key) AS lookup_key,
+         CASE WHEN order_id IS NOT NULL THEN 'primary'
+              WHEN fb.fallback_key IS NOT NULL THEN 'fallback' ELSE 'unmatched' END AS match_path
+  FROM li LEFT JOIN fb USING (l_partkey, l_suppkey))
+SELECT l_orderkey, l_linenumber, lookup_key, match_path, o_custkey, o_orderdate
+FROM k LEFT JOIN orders ON o_orderkey = lookup_key"""
+
+Q["reroute_flag"] = FACT + """
+SELECT ticket_id, assigned_team, resolved_team, rerouted FROM fact"""
+
+Q["response_minutes"] = FACT + """
+SELECT ticket_id, round(response_minutes, 6) AS response_minutes FROM fact"""
+
+Q["resolution_minutes"] = FACT + """
+SELECT ticket_id, source_system,
+       round(date_diff('microsecond', created_dt, resolved_dt_raw) / 60000000.0, 6) AS resolution_minutes_raw,
+       round(resolution_minutes, 6) AS resolution_minutes FROM fact"""
+
+Q["sla_breach"] = FACT + """
+SELECT ticket_id, channel, sla_target_minutes, sla_breach FROM fact"""
+
+Q["corrected_label"] = FACT + """
+SELECT ticket_id, category, resolved_team, training_category FROM fact"""
+
+Q["recommend_team"] = FACT + """
+SELECT ticket_id, category, channel,
+  coalesce(CASE category WHEN 'BUILDING' THEN 'ASIA' WHEN 'MACHINERY' THEN 'EUROPE'
+                         WHEN 'HOUSEHOLD' THEN 'AFRICA' WHEN 'FURNITURE' THEN 'AMERICA' END,
+           CASE channel WHEN '1-URGENT' THEN 'Frontline A' WHEN '2-HIGH' THEN 'Frontline A'
+                        WHEN '5-LOW' THEN 'Frontline B' WHEN '4-NOT SPECIFIED' THEN 'Frontline C' END,
+           'Human review') AS recommended_team
+FROM fact"""
+
+Q["handoff_rate"] = FACT + """, a AS (
+  SELECT count(*) AS n, sum(coalesce(transfers, 0)) AS h,
+         avg(CASE WHEN coalesce(transfers, 0) > 0 THEN 1 ELSE 0 END) AS share
+  FROM fact WHERE source_system = 'helpdesk')
+SELECT n::BIGINT AS current_tickets, h::BIGINT AS recorded_handoffs, round(h / n, 6) AS handoff_rate,
+       round(share, 6) AS share_with_handoff, 0.134 AS target_handoff_rate FROM a"""
+
+Q["reroute_rate"] = FACT + """
+SELECT count(*) FILTER (WHERE rerouted)::BIGINT AS rerouted_tickets,
+       round(avg(CASE WHEN rerouted THEN 1 ELSE 0 END), 6) AS reroute_rate FROM fact"""
+
+Q["queue_leakage"] = FACT + """, a AS (
+  SELECT count(*) FILTER (WHERE assigned_team = 'AFRICA') AS first_assigned,
+         count(*) FILTER (WHERE assigned_team = 'AFRICA' AND resolved_team = 'AMERICA') AS leaked_all,
+         count(*) FILTER (WHERE assigned_team = 'AFRICA' AND resolved_team = 'AMERICA'
+                            AND status IN ('resolved', 'closed')) AS leaked_closed
+  FROM fact)
+SELECT 'AFRICA' AS first_team, 'AMERICA' AS resolving_team, first_assigned::BIGINT AS first_assigned,
+       leaked_all::BIGINT AS leaked_all, leaked_closed::BIGINT AS leaked_closed,
+       (leaked_all - leaked_closed)::BIGINT AS leaked_open,
+       round(leaked_closed / first_assigned, 6) AS leakage_rate_closed,
+       round(leaked_all / first_assigned, 6) AS leakage_rate_all
+FROM a"""
+
+Q["queue_leakage_all_pairs"] = FACT + """, firsts AS (
+  SELECT assigned_team, count(*) AS first_assigned FROM fact WHERE assigned_team IS NOT NULL GROUP BY 1),
+pairs AS (
+  SELECT assigned_team, resolved_team, count(*) AS leaked_all,
+         count(*) FILTER (WHERE status IN ('resolved', 'closed')) AS leaked_closed
+  FROM fact WHERE assigned_team IS NOT NULL AND resolved_team IS NOT NULL
+    AND resolved_team <> assigned_team GROUP BY 1, 2)
+SELECT assigned_team, resolved_team, first_assigned::BIGINT AS first_assigned,
+       leaked_all::BIGINT AS leaked_all, leaked_closed::BIGINT AS leaked_closed,
+       (leaked_all - leaked_closed)::BIGINT AS leaked_open,
+       round(leaked_closed / first_assigned, 6) AS leakage_rate_closed,
+       round(leaked_all / first_assigned, 6) AS leakage_rate_all
+FROM pairs JOIN firsts USING (assigned_team)"""
+
+Q["csat_split"] = FACT + """, pool AS (
+  SELECT csat_score, coalesce(transfers, 0) AS t FROM fact
+  WHERE source_system = 'helpdesk' AND csat_score IS NOT NULL),
+a AS (
+  SELECT avg(csat_score) FILTER (WHERE t = 0) AS m0, avg(csat_score) FILTER (WHERE t > 0) AS m1,
+         count(*) FILTER (WHERE t = 0) AS c0, count(*) FILTER (WHERE t > 0) AS c1 FROM pool)
+SELECT round(m0, 6) AS avg_csat_no_transfer, round(m1, 6) AS avg_csat_with_transfer,
+       round(m0 - m1, 6) AS csat_delta, c0::BIGINT AS csat_sample_no_transfer,
+       c1::BIGINT AS csat_sample_with_transfer FROM a"""
+
+Q["cost_model"] = FACT + """, a AS (
+  SELECT count(*) AS n, sum(coalesce(transfers, 0)) AS h FROM fact WHERE source_system = 'helpdesk')
+SELECT h::BIGINT AS recorded_handoffs, 305.0 AS cost_per_transfer,
+       round(h * 305.0, 6) AS observed_transfer_cost,
+       round(h / n * 33800.0 * 305.0, 6) AS annualized_transfer_waste,
+       round(h / n * 33800.0 * 305.0 * 0.2, 6) AS pilot_savings_target,
+       900000.0 AS proposed_headcount_cost,
+       round(h / n * 33800.0 * 305.0 * 0.2 + 900000.0, 6) AS total_pilot_value_opportunity
+FROM a"""
+
+Q["sla_summary"] = FACT + """
+SELECT count(*) FILTER (WHERE sla_breach)::BIGINT AS sla_breach_count,
+       round(avg(CASE WHEN sla_breach THEN 1 ELSE 0 END), 6) AS sla_breach_rate,
+       round(avg(CASE WHEN sla_breach THEN 1 ELSE 0 END) * 11830000.0, 6) AS annualized_sla_credit
+FROM fact"""
+
+Q["kpi_long"] = FACT + """, a AS (
+  SELECT count(*) AS n,
+         count(*) FILTER (WHERE source_system = 'helpdesk') AS cur,
+         sum(coalesce(transfers, 0)) FILTER (WHERE source_system = 'helpdesk') AS h,
+         count(*) FILTER (WHERE rerouted) AS rr,
+         count(*) FILTER (WHERE assigned_team = 'AFRICA') AS fa,
+         count(*) FILTER (WHERE assigned_team = 'AFRICA' AND resolved_team = 'AMERICA') AS la,
+         avg(csat_score) FILTER (WHERE source_system = 'helpdesk' AND coalesce(transfers, 0) = 0) AS c0,
+         avg(csat_score) FILTER (WHERE source_system = 'helpdesk' AND coalesce(transfers, 0) > 0) AS c1,
+         count(*) FILTER (WHERE sla_breach) AS b
+  FROM fact)
+SELECT * FROM (
+  SELECT 'window_summary' AS section, 'total_in_scope_tickets' AS metric, CAST(n AS DOUBLE) AS value FROM a
+  UNION ALL SELECT 'window_summary', 'current_helpdesk_tickets', cur FROM a
+  UNION ALL SELECT 'operational_friction', 'recorded_handoffs', h FROM a
+  UNION ALL SELECT 'operational_friction', 'recorded_handoff_rate', round(h / cur, 6) FROM a
+  UNION ALL SELECT 'operational_friction', 'rerouted_tickets', rr FROM a
+  UNION ALL SELECT 'operational_friction', 'reroute_rate', round(rr / n, 6) FROM a
+  UNION ALL SELECT 'queue_analysis', 'first_assigned', fa FROM a
+  UNION ALL SELECT 'queue_analysis', 'leaked_all', la FROM a
+  UNION ALL SELECT 'queue_analysis', 'leakage_rate_all', round(la / fa, 6) FROM a
+  UNION ALL SELECT 'customer_experience', 'csat_no_transfer', round(c0, 6) FROM a
+  UNION ALL SELECT 'customer_experience', 'csat_with_transfer', round(c1, 6) FROM a
+  UNION ALL SELECT 'customer_experience', 'csat_delta', round(c0 - c1, 6) FROM a
+  UNION ALL SELECT 'financial_impact', 'observed_transfer_cost', h * 305.0 FROM a
+  UNION ALL SELECT 'financial_impact', 'annualized_transfer_waste', round(h / cur * 33800.0 * 305.0, 6) FROM a
+  UNION ALL SELECT 'service_levels', 'sla_breach_count', b FROM a
+  UNION ALL SELECT 'service_levels', 'sla_breach_rate', round(b / n, 6) FROM a)"""
+
+Q["pilot_scorecard"] = FACT + """, x AS (
+  SELECT *, CASE WHEN substr(md5(CAST(ticket_id AS VARCHAR)), 1, 1) < '8' THEN 'control'
+                 ELSE 'treated' END AS arm FROM fact),
+a AS (
+  SELECT arm, count(*) AS n,
+         count(*) FILTER (WHERE source_system = 'helpdesk') AS cur,
+         sum(coalesce(transfers, 0)) FILTER (WHERE source_system = 'helpdesk') AS h,
+         count(*) FILTER (WHERE assigned_team = 'AFRICA' AND resolved_team = 'AMERICA') AS fr,
+         count(*) FILTER (WHERE sla_breach) AS b,
+         avg(csat_score) FILTER (WHERE source_system = 'helpdesk' AND coalesce(transfers, 0) > 0) AS ch,
+         avg(csat_score) FILTER (WHERE source_system = 'helpdesk' AND coalesce(transfers, 0) = 0) AS cf
+  FROM x GROUP BY arm)
+SELECT arm, n::BIGINT AS n_tickets, round(100 * h / cur, 6) AS handoffs_per_100,
+       round(100 * fr / n, 6) AS focus_reroutes_per_100, round(100 * b / n, 6) AS sla_breaches_per_100,
+       round(100 * h / cur * 305.0, 6) AS transfer_cost_per_100,
+       round(ch, 6) AS csat_handoff, round(cf, 6) AS csat_first_contact,
+       (100 * h / cur) / 100 <= 0.134 AS meets_handoff_target
+FROM a"""

@@ -34,3 +34,233 @@ def q_routing_matrix(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
+
+
+# ----------------------------------------------------------------- tickets
+from pyspark.sql import functions as F  # noqa: E402
+
+from switchyard.functions.columns import minutes_between  # noqa: E402
+from switchyard.operators import metrics as B  # noqa: E402
+from switchyard.operators import quality as Q  # noqa: E402
+from switchyard.operators.joins import fallback_lookup  # noqa: E402
+from switchyard.sources.tables import typed_tickets  # noqa: E402
+
+R6 = 6
+
+
+@query("scan_prepared")
+def q_scan_prepared(spark, sf_dir):
+    f = fact(spark, sf_dir)
+    return f.select("ticket_id", "created_dt", "month", "channel", "category", "assigned_team",
+                    "resolved_team", "agent_id", "source_system", "status", "transfers",
+                    "csat_score", "rerouted", "sla_breach", "training_category")
+
+
+@query("typed_scan")
+def q_typed_scan(spark, sf_dir):
+    """The export arrives as text; null tokens and try-casts type it."""
+    raw = FX.raw_tickets(FX.Tables(spark, sf_dir))
+    as_text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    typed = P.parse_times(typed_tickets(as_text))
+    return typed.select("ticket_id", "created_dt", "first_response_dt", "resolved_dt_raw",
+                        "transfers", "csat_score", "channel")
+
+
+@query("dq_orphan_keys")
+def q_dq_orphan_keys(spark, sf_dir):
+    """V3 on lineitem suppliers against a roster restricted to s_suppkey < 90."""
+    t = FX.Tables(spark, sf_dir)
+    dim = t.supplier.where(F.col("s_suppkey") < 90)
+    return Q.orphan_keys(t.lineitem, dim, "l_suppkey", "s_suppkey")
+
+
+@query("dq_bad_domain")
+def q_dq_bad_domain(spark, sf_dir):
+    t = FX.Tables(spark, sf_dir)
+    return Q.bad_domain(t.orders, "o_orderpriority", sorted(POLICY.sla_minutes))
+
+
+@query("dq_duplicate_keys")
+def q_dq_duplicate_keys(spark, sf_dir):
+    return Q.duplicate_keys(FX.Tables(spark, sf_dir).lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("dq_dim_unique")
+def q_dq_dim_unique(spark, sf_dir):
+    """V6 on the dated roster, where every agent has two rows."""
+    return Q.duplicate_keys(FX.roster_history(FX.Tables(spark, sf_dir)), "agent_id")
+
+
+@query("dq_scope_exclusions")
+def q_dq_scope_exclusions(spark, sf_dir):
+    raw = FX.raw_tickets(FX.Tables(spark, sf_dir))
+    return Q.scope_exclusions(raw, "created_at", POLICY.window_start, POLICY.window_end)
+
+
+@query("dq_negative_duration")
+def q_dq_negative_duration(spark, sf_dir):
+    t = FX.Tables(spark, sf_dir)
+    raw = P.legacy_time_fix(P.parse_times(FX.raw_tickets(t)), POLICY)
+    tickets = Q.negative_durations(raw, "created_dt", "resolved_dt_raw", "resolved_dt")
+    lines = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+             .agg(F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("n")))
+    return Q.negative_durations_long(tickets, lines)
+
+
+@query("dq_null_profile")
+def q_dq_null_profile(spark, sf_dir):
+    return Q.null_profile(fact(spark, sf_dir), "source_system", "transfers", POLICY.current_source)
+
+
+@query("dq_post_conditions")
+def q_dq_post_conditions(spark, sf_dir):
+    return Q.post_conditions(fact(spark, sf_dir), "ticket_id", "created_dt", POLICY.window_start,
+                             POLICY.window_end, sorted(POLICY.sla_minutes.values()))
+
+
+@query("legacy_time_fix")
+def q_legacy_time_fix(spark, sf_dir):
+    f = fact(spark, sf_dir)
+    return f.select("ticket_id", "source_system", "resolved_dt_raw", "resolved_dt")
+
+
+@query("window_filter")
+def q_window_filter(spark, sf_dir):
+    raw = P.parse_times(FX.raw_tickets(FX.Tables(spark, sf_dir)))
+    return P.window_filter(raw, POLICY).select("ticket_id", "created_dt")
+
+
+@query("monthly_by_category")
+def q_monthly_by_category(spark, sf_dir):
+    return V.monthly_by_category(fact(spark, sf_dir))
+
+
+@query("monthly_by_category_wide")
+def q_monthly_by_category_wide(spark, sf_dir):
+    return V.crosstab_wide(fact(spark, sf_dir), "month", "category", list(FX.FIXTURE_CATEGORIES))
+
+
+@query("monthly_by_team")
+def q_monthly_by_team(spark, sf_dir):
+    return V.monthly_by_team(fact(spark, sf_dir))
+
+
+@query("routing_matrix_wide")
+def q_routing_matrix_wide(spark, sf_dir):
+    return V.crosstab_wide(fact(spark, sf_dir), "assigned_team", "resolved_team", list(FX.FIXTURE_TEAMS))
+
+
+@query("team_share")
+def q_team_share(spark, sf_dir):
+    t = FX.Tables(spark, sf_dir)
+    return V.team_share(fact(spark, sf_dir), FX.roster(t))
+
+
+@query("window_summary")
+def q_window_summary(spark, sf_dir):
+    return V.window_summary(fact(spark, sf_dir), POLICY.current_source)
+
+
+@query("owner_lookup")
+def q_owner_lookup(spark, sf_dir):
+    return fact(spark, sf_dir).select("ticket_id", "agent_id", "resolved_team", "tier", "site", "shift")
+
+
+@query("owner_lookup_asof")
+def q_owner_lookup_asof(spark, sf_dir):
+    t = FX.Tables(spark, sf_dir)
+    f = P.prepare_tickets(FX.raw_tickets(t), FX.roster(t), POLICY, roster_history=FX.roster_history(t))
+    return f.select("ticket_id", "agent_id", "created_dt", "resolved_team", "rerouted", "training_category")
+
+
+@query("fallback_lookup")
+def q_fallback_lookup(spark, sf_dir):
+    """Line -> order by order key, else by (part, supplier) -> min order key."""
+    t = FX.Tables(spark, sf_dir)
+    li = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(F.col("l_orderkey") % 10 != 0, F.col("l_orderkey")).alias("order_id"))
+    fb_map = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("fallback_key"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    out = fallback_lookup(li, orders, "order_id", ["l_partkey", "l_suppkey"], fb_map, "o_orderkey")
+    return out.select("l_orderkey", "l_linenumber", "lookup_key", "match_path", "o_custkey", "o_orderdate")
+
+
+@query("reroute_flag")
+def q_reroute_flag(spark, sf_dir):
+    return fact(spark, sf_dir).select("ticket_id", "assigned_team", "resolved_team", "rerouted")
+
+
+@query("response_minutes")
+def q_response_minutes(spark, sf_dir):
+    return fact(spark, sf_dir).select("ticket_id", F.round("response_minutes", R6).alias("response_minutes"))
+
+
+@query("resolution_minutes")
+def q_resolution_minutes(spark, sf_dir):
+    return fact(spark, sf_dir).select(
+        "ticket_id", "source_system",
+        F.round(minutes_between("created_dt", "resolved_dt_raw"), R6).alias("resolution_minutes_raw"),
+        F.round("resolution_minutes", R6).alias("resolution_minutes"))
+
+
+@query("sla_breach")
+def q_sla_breach(spark, sf_dir):
+    return fact(spark, sf_dir).select("ticket_id", "channel", "sla_target_minutes", "sla_breach")
+
+
+@query("corrected_label")
+def q_corrected_label(spark, sf_dir):
+    return fact(spark, sf_dir).select("ticket_id", "category", "resolved_team", "training_category")
+
+
+@query("recommend_team")
+def q_recommend_team(spark, sf_dir):
+    f = fact(spark, sf_dir)
+    return f.select("ticket_id", "category", "channel",
+                    P.recommend_team(F.col("category"), F.col("channel"), POLICY).alias("recommended_team"))
+
+
+@query("handoff_rate")
+def q_handoff_rate(spark, sf_dir):
+    return B.handoff_rate(fact(spark, sf_dir), POLICY)
+
+
+@query("reroute_rate")
+def q_reroute_rate(spark, sf_dir):
+    return B.reroute_rate(fact(spark, sf_dir))
+
+
+@query("queue_leakage")
+def q_queue_leakage(spark, sf_dir):
+    return B.queue_leakage(fact(spark, sf_dir), POLICY)
+
+
+@query("queue_leakage_all_pairs")
+def q_queue_leakage_all_pairs(spark, sf_dir):
+    return B.queue_leakage_all_pairs(fact(spark, sf_dir), POLICY)
+
+
+@query("csat_split")
+def q_csat_split(spark, sf_dir):
+    return B.csat_split(fact(spark, sf_dir), POLICY)
+
+
+@query("cost_model")
+def q_cost_model(spark, sf_dir):
+    return B.cost_model(fact(spark, sf_dir), POLICY)
+
+
+@query("sla_summary")
+def q_sla_summary(spark, sf_dir):
+    return B.sla_summary(fact(spark, sf_dir), POLICY)
+
+
+@query("kpi_long")
+def q_kpi_long(spark, sf_dir):
+    return B.kpi_long(B.metric_tree(fact(spark, sf_dir), POLICY))
+
+
+@query("pilot_scorecard")
+def q_pilot_scorecard(spark, sf_dir):
+    return B.pilot_scorecard(fact(spark, sf_dir), POLICY)
