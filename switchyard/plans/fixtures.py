@@ -141,3 +141,22 @@ def predictions(t: Tables) -> DataFrame:
 
 def sf_label(sf_dir: str) -> str:
     return os.path.basename(os.path.normpath(sf_dir))
+
+
+# The channel a message arrives on, derived from its source
+# number (source n -> CHANNELS[n % 5]); 3-MEDIUM has no frontline.
+CHANNELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+# Language desks owning a predicted class; 'en' has no owner.
+TRIAGE_OWNERS = {"de": "German desk", "es": "Spanish desk", "fr": "French desk"}
+
+
+def message_channel(source_col: str = "source"):
+    n = F.regexp_extract(F.col(source_col), r"(\d+)$", 1).cast("int")
+    return F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), (n % len(CHANNELS) + 1).cast("int"))
+
+
+def audit_table(t: Tables) -> DataFrame:
+    """Audited rows: labelled ids with a source tag and a manual category."""
+    truth = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("manual_category"))
+    tag = F.when(F.col("id") % 7 == 0, F.lit("en")).otherwise(F.col("manual_category"))
+    return audit_ids(t).join(truth, "id").select("id", tag.alias("tag"), "manual_category")

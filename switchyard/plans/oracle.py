@@ -382,3 +382,199 @@ SELECT arm, n::BIGINT AS n_tickets, round(100 * h / cur, 6) AS handoffs_per_100,
        round(ch, 6) AS csat_handoff, round(cf, 6) AS csat_first_contact,
        (100 * h / cur) / 100 <= 0.134 AS meets_handoff_target
 FROM a"""
+
+# ------------------------------------------------ messages and predictions
+CLEAN = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+
+MSGS = f"""
+msgs AS (
+  SELECT doc_id AS id, {CLEAN} AS text, lang AS label, source FROM documents)"""
+
+POOL = MSGS + """,
+pool AS (SELECT * FROM msgs WHERE id NOT IN (SELECT doc_id FROM labels))"""
+
+
+def split_ctes(src: str, seed_expr: str, part: str) -> str:
+    """Exact stratified 20% split of ``src`` grouped by ``part`` (a column list
+    prefix such as 'seed, ' or '')."""
+    over = f"PARTITION BY {part.rstrip(', ')}" if part else ""
+    return f""",
+counts AS (SELECT {part}label, count(*) AS n_class FROM {src} GROUP BY {part}label),
+c1 AS (SELECT *, sum(n_class) OVER ({over}) AS n_total FROM counts),
+c2 AS (SELECT *, (n_total + 4) // 5 AS n_test_total FROM c1),
+c3 AS (SELECT *, n_total - n_test_total AS n_train_total FROM c2),
+c4 AS (SELECT *, (n_train_total * n_class) // n_total AS base,
+              (n_train_total * n_class) % n_total AS rem FROM c3),
+c5 AS (SELECT *, n_train_total - sum(base) OVER ({over}) AS short FROM c4),
+sizes AS (
+  SELECT {part}label, n_class,
+         n_class - base - CASE WHEN row_number() OVER ({over} ORDER BY rem DESC, label) <= short
+                               THEN 1 ELSE 0 END AS n_test FROM c5),
+ranked AS (
+  SELECT {src}.*, row_number() OVER (PARTITION BY {part}label
+                    ORDER BY md5({seed_expr} || ':' || CAST(id AS VARCHAR)), id) AS class_rank
+  FROM {src}),
+split AS (
+  SELECT ranked.*, n_test, class_rank <= n_test AS is_test FROM ranked JOIN sizes USING ({part}label))"""
+
+
+HOLDOUT = with_(POOL + split_ctes("pool", "'42'", ""))
+REPEATED = with_(POOL + """,
+pool_s AS (SELECT pool.*, s.seed FROM pool, (SELECT unnest([7, 19, 42, 73, 101]) AS seed) s)"""
+                 + split_ctes("pool_s", "CAST(seed AS VARCHAR)", "seed, "))
+
+PRED_CTE = """
+w AS (
+  SELECT doc_id AS id, lang AS truth, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS raw_tag,
+         'de' AS class, 0 AS ci FROM documents
+  UNION ALL SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END, 'en', 1 FROM documents
+  UNION ALL SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END, 'es', 2 FROM documents
+  UNION ALL SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END, 'fr', 3 FROM documents),
+w2 AS (
+  SELECT *, CAST(1 + (id * 31 + ci * 17) % 23
+                 + CASE WHEN class = truth AND id % 5 <> 0 THEN 60 ELSE 0 END AS DOUBLE) AS wt FROM w),
+probs AS (SELECT id, class, wt / sum(wt) OVER (PARTITION BY id) AS p, truth, raw_tag FROM w2),
+best AS (
+  SELECT id, class AS pred, p AS confidence, truth, raw_tag FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, class) AS rn FROM probs) WHERE rn = 1)"""
+
+PRED = with_(PRED_CTE)
+
+Q["clean_text"] = with_(MSGS) + """
+SELECT id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM msgs"""
+
+Q["train_pool"] = with_(POOL) + "SELECT id, label FROM pool"
+
+Q["stratified_sample"] = FACT + """
+SELECT ticket_id, category, sample_rank FROM (
+  SELECT ticket_id, category, CAST(row_number() OVER (PARTITION BY category
+           ORDER BY md5('42:' || CAST(ticket_id AS VARCHAR)), ticket_id) AS INTEGER) AS sample_rank
+  FROM fact) WHERE sample_rank <= 10"""
+
+Q["stratified_holdout"] = HOLDOUT + "SELECT id, label, class_rank, is_test FROM split"
+
+Q["repeated_holdout"] = REPEATED + "SELECT seed, id, label, class_rank, is_test FROM split"
+
+Q["calibration_folds"] = HOLDOUT + """
+SELECT id, label, CAST((class_rank - n_test - 1) % 2 AS INTEGER) AS fold FROM split WHERE NOT is_test"""
+
+Q["split_leakage"] = HOLDOUT + """, tr AS (SELECT DISTINCT md5(text) AS h FROM split WHERE NOT is_test),
+te AS (SELECT md5(text) AS h, h IN (SELECT h FROM tr) AS leak FROM split WHERE is_test)
+SELECT count(*)::BIGINT AS n_test, count(*) FILTER (WHERE leak)::BIGINT AS n_test_text_in_train,
+       count(DISTINCT CASE WHEN leak THEN h END)::BIGINT AS n_distinct_leaked_texts,
+       round(count(*) FILTER (WHERE leak) / count(*), 6) AS leak_share
+FROM te"""
+
+Q["class_weights"] = HOLDOUT + """, c AS (SELECT label, count(*) AS n_class FROM split WHERE NOT is_test GROUP BY 1)
+SELECT label, n_class::BIGINT AS n_class,
+       round(sum(n_class) OVER () / (count(*) OVER () * n_class), 6) AS weight FROM c"""
+
+Q["predict_argmax"] = PRED + "SELECT id, pred, round(confidence, 6) AS confidence FROM best"
+
+Q["top_k_classes"] = PRED + """
+SELECT id, CAST(rk AS INTEGER) AS rank, class, round(p, 6) AS p FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, class) AS rk FROM probs) WHERE rk <= 5"""
+
+Q["confidence_split"] = PRED + """, a AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE confidence >= 0.7) AS n_auto,
+         avg(CASE WHEN pred = truth THEN 1 ELSE 0 END) FILTER (WHERE confidence >= 0.7) AS acc_auto,
+         avg(CASE WHEN pred = truth THEN 1 ELSE 0 END) FILTER (WHERE confidence < 0.7) AS acc_review
+  FROM best)
+SELECT 0.7 AS confidence_threshold, n::BIGINT AS n, n_auto::BIGINT AS n_auto,
+       round(n_auto / n, 6) AS auto_routed_share, round(acc_auto, 6) AS auto_routed_accuracy,
+       round((n - n_auto) / n, 6) AS human_review_share,
+       round(acc_review, 6) AS low_confidence_accuracy_if_forced FROM a"""
+
+Q["accuracy"] = PRED + """
+SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN pred = truth THEN 1 ELSE 0 END), 6) AS accuracy,
+       round(1 - avg(CASE WHEN pred = truth THEN 1 ELSE 0 END), 6) AS error_rate FROM best"""
+
+Q["raw_tag_agreement"] = PRED + """
+SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN pred = raw_tag THEN 1 ELSE 0 END), 6) AS agreement
+FROM best"""
+
+Q["brier"] = PRED + """, r AS (
+  SELECT id, sum((p - CASE WHEN class = truth THEN 1.0 ELSE 0.0 END) ^ 2)
+             + 1 - max(CASE WHEN class = truth THEN 1.0 ELSE 0.0 END) AS sq
+  FROM probs GROUP BY id)
+SELECT count(*)::BIGINT AS n, round(avg(sq), 6) AS brier_score FROM r"""
+
+Q["classification_report"] = PRED + """,
+t AS (SELECT truth AS label, count(*) AS support FROM best GROUP BY 1),
+p AS (SELECT pred AS label, count(*) AS n_pred FROM best GROUP BY 1),
+tp AS (SELECT truth AS label, count(*) AS tp FROM best WHERE pred = truth GROUP BY 1),
+per AS (
+  SELECT coalesce(t.label, p.label) AS label, coalesce(support, 0) AS support,
+         coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp
+  FROM t FULL OUTER JOIN p ON t.label = p.label LEFT JOIN tp ON tp.label = coalesce(t.label, p.label)),
+m AS (
+  SELECT label, support,
+         CASE WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall FROM per),
+f AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       support::BIGINT AS support FROM f
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       sum(support)::BIGINT FROM f
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+       sum(support)::BIGINT FROM f"""
+
+Q["audit_accuracy"] = PRED + """, audit AS (
+  SELECT l.doc_id AS id, CASE WHEN l.doc_id % 7 = 0 THEN 'en' ELSE d.lang END AS tag,
+         d.lang AS manual_category
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+j AS (SELECT audit.*, best.pred FROM audit LEFT JOIN best USING (id)),
+a AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE pred = manual_category) AS mc,
+         count(*) FILTER (WHERE tag = manual_category) AS sc,
+         count(*) FILTER (WHERE pred IS NULL) AS np FROM j)
+SELECT n::BIGINT AS n, mc::BIGINT AS production_model_correct,
+       round(mc / n, 6) AS production_model_accuracy, sc::BIGINT AS source_tag_correct,
+       round(sc / n, 6) AS source_tag_accuracy, round(1 - mc / n, 6) AS production_model_error_rate,
+       np::BIGINT AS n_without_prediction FROM a"""
+
+Q["repeated_run_summary"] = REPEATED.rstrip() + "," + PRED_CTE + """,
+runs AS (
+  SELECT seed, count(*) AS n_test, avg(CASE WHEN pred = best.truth THEN 1 ELSE 0 END) AS acc
+  FROM split JOIN best USING (id) WHERE is_test GROUP BY seed)
+SELECT seed, n_test::BIGINT AS n_test, round(acc, 6) AS accuracy, round(1 - acc, 6) AS error_rate,
+       count(*) OVER ()::BIGINT AS n_runs, round(avg(acc) OVER (), 6) AS mean_accuracy,
+       round(stddev_samp(acc) OVER (), 6) AS std_accuracy, round(min(acc) OVER (), 6) AS min_accuracy,
+       round(max(acc) OVER (), 6) AS max_accuracy,
+       round(max(acc) OVER () - min(acc) OVER (), 6) AS range_accuracy
+FROM runs"""
+
+ROUTED = with_(MSGS + "," + PRED_CTE + """,
+m AS (
+  SELECT id, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][
+           CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 5 + 1] AS channel
+  FROM msgs WHERE length(text) > 0),
+routed AS (
+  SELECT m.id, channel, pred, confidence, truth, confidence >= 0.7 AS auto_routed,
+         CASE WHEN confidence < 0.7 THEN 'Human review'
+              ELSE coalesce(CASE pred WHEN 'de' THEN 'German desk' WHEN 'es' THEN 'Spanish desk'
+                                      WHEN 'fr' THEN 'French desk' END,
+                            CASE channel WHEN '1-URGENT' THEN 'Frontline A' WHEN '2-HIGH' THEN 'Frontline A'
+                                         WHEN '5-LOW' THEN 'Frontline B'
+                                         WHEN '4-NOT SPECIFIED' THEN 'Frontline C' END,
+                            'Human review') END AS route
+  FROM m JOIN best USING (id))""")
+
+Q["triage_route"] = ROUTED + """
+SELECT id, channel, pred, round(confidence, 6) AS confidence, route, auto_routed FROM routed"""
+
+Q["triage_value"] = ROUTED + """, a AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE auto_routed) AS n_auto,
+         avg(CASE WHEN pred = truth THEN 1 ELSE 0 END) AS acc,
+         avg(CASE WHEN pred = truth THEN 1 ELSE 0 END) FILTER (WHERE auto_routed) AS acc_auto FROM routed)
+SELECT n::BIGINT AS n, round(n_auto / n, 6) AS auto_routed_share,
+       round((1 - acc) * 305.0, 6) AS transfer_cost_per_ticket_no_triage,
+       round(n_auto / n * (1 - coalesce(acc_auto, 1.0)) * 305.0, 6) AS transfer_cost_per_ticket_with_triage,
+       round(((1 - acc) * 305.0 - n_auto / n * (1 - coalesce(acc_auto, 1.0)) * 305.0) * 33800.0, 6)
+         AS annual_transfer_cost_avoided
+FROM a"""

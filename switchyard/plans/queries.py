@@ -264,3 +264,139 @@ def q_kpi_long(spark, sf_dir):
 @query("pilot_scorecard")
 def q_pilot_scorecard(spark, sf_dir):
     return B.pilot_scorecard(fact(spark, sf_dir), POLICY)
+
+
+# ------------------------------------------------- sampling and evaluation
+from switchyard.operators import evaluate as E  # noqa: E402
+from switchyard.operators import sampling as X  # noqa: E402
+from switchyard.operators import triage as TR  # noqa: E402
+from switchyard.policy import REPEATED_SEEDS, SPLIT_SEED, HOLDOUT_FRACTION  # noqa: E402
+
+TRIAGE_POLICY = POLICY.with_(category_owner=dict(FX.TRIAGE_OWNERS))
+
+
+def msgs(spark, sf_dir):
+    """Cleaned messages (whole documents)."""
+    return P.clean_text(FX.messages(FX.Tables(spark, sf_dir)), "message", "text")
+
+
+def pool(spark, sf_dir):
+    """Messages minus the audited ids (anti join)."""
+    t = FX.Tables(spark, sf_dir)
+    return msgs(spark, sf_dir).join(FX.audit_ids(t), "id", "left_anti")
+
+
+def holdout(spark, sf_dir):
+    return X.stratified_holdout(pool(spark, sf_dir), "label", "id", HOLDOUT_FRACTION, SPLIT_SEED)
+
+
+def best(spark, sf_dir):
+    return E.argmax(FX.predictions(FX.Tables(spark, sf_dir)), keep=("truth", "raw_tag"))
+
+
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    m = msgs(spark, sf_dir)
+    return m.select("id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("train_pool")
+def q_train_pool(spark, sf_dir):
+    return pool(spark, sf_dir).select("id", "label")
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf_dir):
+    s = X.stratified_sample(fact(spark, sf_dir), "category", "ticket_id", 10, SPLIT_SEED)
+    return s.select("ticket_id", "category", "sample_rank")
+
+
+@query("stratified_holdout")
+def q_stratified_holdout(spark, sf_dir):
+    return holdout(spark, sf_dir).select("id", "label", "class_rank", "is_test")
+
+
+@query("repeated_holdout")
+def q_repeated_holdout(spark, sf_dir):
+    r = X.repeated_holdout(pool(spark, sf_dir), "label", "id", REPEATED_SEEDS, HOLDOUT_FRACTION)
+    return r.select("seed", "id", "label", "class_rank", "is_test")
+
+
+@query("calibration_folds")
+def q_calibration_folds(spark, sf_dir):
+    return X.calibration_folds(holdout(spark, sf_dir), "label").select("id", "label", "fold")
+
+
+@query("split_leakage")
+def q_split_leakage(spark, sf_dir):
+    return X.split_leakage(holdout(spark, sf_dir), "text")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    from switchyard.operators.classify import class_weights
+    return class_weights(holdout(spark, sf_dir).where(~F.col("is_test")), "label")
+
+
+@query("predict_argmax")
+def q_predict_argmax(spark, sf_dir):
+    return best(spark, sf_dir).select("id", "pred", F.round("confidence", R6).alias("confidence"))
+
+
+@query("top_k_classes")
+def q_top_k_classes(spark, sf_dir):
+    tk = E.top_k(FX.predictions(FX.Tables(spark, sf_dir)), 5)
+    return tk.select("id", "rank", "class", F.round("p", R6).alias("p"))
+
+
+@query("confidence_split")
+def q_confidence_split(spark, sf_dir):
+    return E.confidence_split(best(spark, sf_dir), POLICY.auto_route_confidence)
+
+
+@query("accuracy")
+def q_accuracy(spark, sf_dir):
+    return E.accuracy(best(spark, sf_dir))
+
+
+@query("raw_tag_agreement")
+def q_raw_tag_agreement(spark, sf_dir):
+    return E.agreement(best(spark, sf_dir), "raw_tag")
+
+
+@query("brier")
+def q_brier(spark, sf_dir):
+    return E.brier(FX.predictions(FX.Tables(spark, sf_dir)))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return E.classification_report(best(spark, sf_dir))
+
+
+@query("audit_accuracy")
+def q_audit_accuracy(spark, sf_dir):
+    return E.audit_accuracy(FX.audit_table(FX.Tables(spark, sf_dir)), best(spark, sf_dir))
+
+
+@query("repeated_run_summary")
+def q_repeated_run_summary(spark, sf_dir):
+    r = X.repeated_holdout(pool(spark, sf_dir), "label", "id", REPEATED_SEEDS, HOLDOUT_FRACTION)
+    test = r.where("is_test").select("seed", "id")
+    return E.repeated_run_summary(test.join(best(spark, sf_dir), "id"))
+
+
+def routed(spark, sf_dir):
+    m = TR.non_blank(msgs(spark, sf_dir)).select("id", FX.message_channel().alias("channel"))
+    return TR.route(m.join(best(spark, sf_dir), "id"), TRIAGE_POLICY)
+
+
+@query("triage_route")
+def q_triage_route(spark, sf_dir):
+    return routed(spark, sf_dir).select("id", "channel", "pred", F.round("confidence", R6).alias("confidence"),
+                                        "route", "auto_routed")
+
+
+@query("triage_value")
+def q_triage_value(spark, sf_dir):
+    return TR.triage_value(routed(spark, sf_dir), TRIAGE_POLICY)
