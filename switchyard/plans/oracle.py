@@ -578,3 +578,83 @@ SELECT n::BIGINT AS n, round(n_auto / n, 6) AS auto_routed_share,
        round(((1 - acc) * 305.0 - n_auto / n * (1 - coalesce(acc_auto, 1.0)) * 305.0) * 33800.0, 6)
          AS annual_transfer_cost_avoided
 FROM a"""
+
+# ------------------------------------------------------------ text features
+WORDS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}')"
+CHARTEXT = "regexp_replace(lower(text), '\\s\\s+', ' ', 'g')"
+
+
+def _word_terms(src: str, bigrams: bool) -> str:
+    uni = f"SELECT id, unnest(toks) AS term FROM (SELECT id, {WORDS} AS toks FROM {src})"
+    if not bigrams:
+        return uni
+    bi = (f"SELECT id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS term "
+          f"FROM (SELECT id, {WORDS} AS toks FROM {src})")
+    return uni + " UNION ALL " + bi
+
+
+def _char_terms(src: str) -> str:
+    parts = []
+    for n in (3, 4, 5):
+        parts.append(f"SELECT id, substr(t, i, {n}) AS term FROM (SELECT id, {CHARTEXT} AS t FROM {src}), "
+                     f"unnest(range(1, length(t) - {n} + 2)) AS r(i)")
+    return " UNION ALL ".join(parts)
+
+
+def _tf(terms_sql: str) -> str:
+    return f"SELECT id, term, count(*) AS tf FROM ({terms_sql}) GROUP BY id, term"
+
+
+SUMMARY = """
+SELECT id, sum(tf)::BIGINT AS n_terms, count(*)::BIGINT AS n_distinct, sum(tf * tf)::BIGINT AS sum_tf_sq
+FROM tf GROUP BY id"""
+
+Q["word_tokens"] = with_(MSGS) + f", tf AS ({_tf(_word_terms('msgs', False))})" + SUMMARY
+Q["word_ngrams"] = with_(MSGS) + f", tf AS ({_tf(_word_terms('msgs', True))})" + SUMMARY
+Q["char_ngrams"] = with_(MSGS) + f", tf AS ({_tf(_char_terms('msgs'))})" + SUMMARY
+
+
+def _vocab_ctes() -> str:
+    return HOLDOUT.rstrip() + f""",
+train AS (SELECT id, text FROM split WHERE NOT is_test),
+ntrain AS (SELECT count(*) AS n FROM train),
+wtf AS ({_tf(_word_terms('train', True))}),
+ctf AS ({_tf(_char_terms('train'))}),
+wst AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM wtf GROUP BY term),
+cst AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM ctf GROUP BY term),
+wvoc AS (
+  SELECT 'word' AS block, term, df, total_tf, ln((1 + n) / (1 + df)) + 1 AS idf
+  FROM wst, ntrain WHERE df >= 2 AND df <= 0.98 * n),
+cvoc AS (
+  SELECT 'char' AS block, term, df, total_tf, ln((1 + n) / (1 + df)) + 1 AS idf
+  FROM cst, ntrain WHERE df >= 2 ORDER BY total_tf DESC, term LIMIT 30000)
+"""
+
+
+Q["vocabulary"] = _vocab_ctes() + """
+SELECT block, term, df::BIGINT AS df, total_tf::BIGINT AS total_tf, round(idf, 6) AS idf FROM wvoc
+UNION ALL
+SELECT block, term, df::BIGINT, total_tf::BIGINT, round(idf, 6) FROM cvoc"""
+
+
+def _features(blocks) -> str:
+    parts = []
+    for b in blocks:
+        src = _word_terms("msgs", True) if b == "word" else _char_terms("msgs")
+        voc = "wvoc" if b == "word" else "cvoc"
+        parts.append(f"""
+{b}_w AS (
+  SELECT id, '{b}' AS block, tf.term, (1 + ln(tf)) * idf AS w
+  FROM ({_tf(src)}) tf JOIN {voc} USING (term)),
+{b}_f AS (SELECT id, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {b}_w)""")
+    union = " UNION ALL ".join(f"SELECT * FROM {b}_f" for b in blocks)
+    return "," + ",".join(parts) + f",\nfeats AS ({union})\n" + """
+SELECT id, count(*) FILTER (WHERE block = 'word')::BIGINT AS nnz_word,
+       count(*) FILTER (WHERE block = 'char')::BIGINT AS nnz_char,
+       round(sum(weight * weight), 6) AS sq_norm, round(max(weight), 6) AS max_weight
+FROM feats GROUP BY id"""
+
+
+Q["tfidf_word"] = _vocab_ctes() + _features(["word"])
+Q["tfidf_char"] = _vocab_ctes() + _features(["char"])
+Q["feature_union"] = _vocab_ctes() + _features(["word", "char"])

@@ -400,3 +400,63 @@ def q_triage_route(spark, sf_dir):
 @query("triage_value")
 def q_triage_value(spark, sf_dir):
     return TR.triage_value(routed(spark, sf_dir), TRIAGE_POLICY)
+
+
+# ------------------------------------------------------------ text features
+from switchyard.operators import text_features as TF  # noqa: E402
+
+
+def msgs_by_id(spark, sf_dir):
+    return TF.partition_by_id(msgs(spark, sf_dir))
+
+
+def train_docs(spark, sf_dir):
+    """Training side of the seed-42 holdout (ids only joined back to text)."""
+    return holdout(spark, sf_dir).where(~F.col("is_test")).select("id", "text", "label")
+
+
+@query("word_tokens")
+def q_word_tokens(spark, sf_dir):
+    spec = TF.BlockSpec("word1", "word", 1, 1)
+    return TF.doc_summary(TF.term_counts(msgs_by_id(spark, sf_dir), spec))
+
+
+@query("word_ngrams")
+def q_word_ngrams(spark, sf_dir):
+    return TF.doc_summary(TF.term_counts(msgs_by_id(spark, sf_dir), TF.WORD))
+
+
+@query("char_ngrams")
+def q_char_ngrams(spark, sf_dir):
+    return TF.doc_summary(TF.term_counts(msgs_by_id(spark, sf_dir), TF.CHAR))
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    tr = TF.partition_by_id(train_docs(spark, sf_dir))
+    n = TF.count_docs(tr)
+    parts = [TF.fit_vocabulary(TF.term_counts(tr, s), n, s) for s in TF.BLOCKS]
+    v = parts[0].unionByName(parts[1])
+    return v.select("block", "term", "df", "total_tf", F.round("idf", R6).alias("idf"))
+
+
+def _block_features(spark, sf_dir, spec):
+    tr = TF.partition_by_id(train_docs(spark, sf_dir))
+    vocab = TF.fit_vocabulary(TF.term_counts(tr, spec), TF.count_docs(tr), spec)
+    return TF.tfidf(TF.term_counts(msgs_by_id(spark, sf_dir), spec), vocab, spec)
+
+
+@query("tfidf_word")
+def q_tfidf_word(spark, sf_dir):
+    return TF.feature_summary(_block_features(spark, sf_dir, TF.WORD))
+
+
+@query("tfidf_char")
+def q_tfidf_char(spark, sf_dir):
+    return TF.feature_summary(_block_features(spark, sf_dir, TF.CHAR))
+
+
+@query("feature_union")
+def q_feature_union(spark, sf_dir):
+    feats, _ = TF.fit_transform(TF.partition_by_id(train_docs(spark, sf_dir)), msgs_by_id(spark, sf_dir))
+    return TF.feature_summary(feats)
