@@ -637,7 +637,7 @@ UNION ALL
 SELECT block, term, df::BIGINT, total_tf::BIGINT, round(idf, 6) FROM cvoc"""
 
 
-def _features(blocks) -> str:
+def _features_cte(blocks) -> str:
     parts = []
     for b in blocks:
         src = _word_terms("msgs", True) if b == "word" else _char_terms("msgs")
@@ -648,7 +648,20 @@ def _features(blocks) -> str:
   FROM ({_tf(src)}) tf JOIN {voc} USING (term)),
 {b}_f AS (SELECT id, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {b}_w)""")
     union = " UNION ALL ".join(f"SELECT * FROM {b}_f" for b in blocks)
-    return "," + ",".join(parts) + f",\nfeats AS ({union})\n" + """
+    return "," + ",".join(parts) + f",\nfeats AS ({union})\n"
+
+
+def _features(blocks) -> str:
+    parts = []
+    for b in blocks:
+        src = _word_terms("msgs", True) if b == "word" else _char_terms("msgs")
+        voc = "wvoc" if b == "word" else "cvoc"
+        parts.append(f"""
+{b}_w AS (
+  SELECT id, '{b}' AS block, tf.term, (1 + ln(tf)) * idf AS w
+  FROM ({_tf(src)}) tf JOIN {voc} USING (term)),
+{b}_f AS (SELECT id, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {b}_w)""")
+    return _features_cte(blocks) + """
 SELECT id, count(*) FILTER (WHERE block = 'word')::BIGINT AS nnz_word,
        count(*) FILTER (WHERE block = 'char')::BIGINT AS nnz_char,
        round(sum(weight * weight), 6) AS sq_norm, round(max(weight), 6) AS max_weight
@@ -658,3 +671,37 @@ FROM feats GROUP BY id"""
 Q["tfidf_word"] = _vocab_ctes() + _features(["word"])
 Q["tfidf_char"] = _vocab_ctes() + _features(["char"])
 Q["feature_union"] = _vocab_ctes() + _features(["word", "char"])
+
+
+# ------------------------------------------------------------ classification
+CENTROID = _vocab_ctes() + _features_cte(["word", "char"]) + """,
+lab AS (SELECT id, label AS class FROM split WHERE NOT is_test),
+ncls AS (SELECT class, count(*) AS n_class FROM lab GROUP BY class),
+wts AS (
+  SELECT class, block, term, sum(weight) / any_value(n_class) AS w
+  FROM feats JOIN lab USING (id) JOIN ncls USING (class) GROUP BY class, block, term),
+bias AS (SELECT class, -0.5 * sum(w * w) AS b FROM wts GROUP BY class),
+dots AS (
+  SELECT id, class, sum(weight * w) AS dot FROM feats JOIN wts USING (block, term) GROUP BY id, class),
+scores AS (
+  SELECT m.id, c.class, coalesce(dot, 0) + coalesce(b, 0) AS score
+  FROM msgs m JOIN ncls c ON true LEFT JOIN dots d ON d.id = m.id AND d.class = c.class
+  LEFT JOIN bias ON bias.class = c.class)
+"""
+
+Q["centroid_weights"] = CENTROID + """
+SELECT class, block, count(*)::BIGINT AS n_terms, round(sum(w), 6) AS sum_w, round(sum(w * w), 6) AS sum_w_sq,
+       round(any_value(b), 6) AS intercept
+FROM wts JOIN bias USING (class) GROUP BY class, block"""
+
+Q["linear_score_join"] = CENTROID + "SELECT id, class, round(score, 6) AS score FROM scores"
+
+Q["calibrate_apply"] = CENTROID + """,
+ci AS (SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS i FROM ncls),
+params AS (
+  SELECT 0 AS fold, class, -6.0 - 0.5 * i AS a, 0.5 + 0.1 * i AS b FROM ci
+  UNION ALL SELECT 1, class, -4.0 - 0.5 * i, 0.25 + 0.1 * i FROM ci),
+q AS (
+  SELECT id, fold, class, 1.0 / (1.0 + exp(a * score + b)) AS q FROM scores JOIN params USING (class)),
+qn AS (SELECT id, fold, class, coalesce(q / sum(q) OVER (PARTITION BY id, fold), 0.0) AS qn FROM q)
+SELECT id, class, round(avg(qn), 6) AS p FROM qn GROUP BY id, class"""

@@ -460,3 +460,84 @@ def q_tfidf_char(spark, sf_dir):
 def q_feature_union(spark, sf_dir):
     feats, _ = TF.fit_transform(TF.partition_by_id(train_docs(spark, sf_dir)), msgs_by_id(spark, sf_dir))
     return TF.feature_summary(feats)
+
+
+# ------------------------------------------------------------ classification
+from switchyard.operators import classify as C  # noqa: E402
+
+
+def _centroid_model(spark, sf_dir):
+    tr = TF.partition_by_id(train_docs(spark, sf_dir))
+    feats, _ = TF.fit_transform(tr, msgs_by_id(spark, sf_dir))
+    labelled = tr.select("id", "label")
+    w = C.centroid_weights(feats, labelled)
+    return feats, w, C.intercepts(w), C.class_list(labelled, "label")
+
+
+@query("centroid_weights")
+def q_centroid_weights(spark, sf_dir):
+    _, w, b, _ = _centroid_model(spark, sf_dir)
+    s = w.groupBy("class", "block").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), R6).alias("sum_w"),
+        F.round(F.sum(F.col("w") * F.col("w")), R6).alias("sum_w_sq"))
+    return s.join(b.select("class", F.round("b", R6).alias("intercept")), "class")
+
+
+def _scores(spark, sf_dir):
+    feats, w, b, classes = _centroid_model(spark, sf_dir)
+    return C.linear_scores(feats, w, b, msgs(spark, sf_dir).select("id"), classes), classes
+
+
+@query("linear_score_join")
+def q_linear_score_join(spark, sf_dir):
+    s, _ = _scores(spark, sf_dir)
+    return s.select("id", "class", F.round("score", R6).alias("score"))
+
+
+# Platt parameters (a, b) per (fold, class index) of the
+# calibration fixture; margins are the centroid scores of the documents.
+PLATT_FIXTURE = ((0, -6.0, 0.5), (1, -4.0, 0.25))
+
+
+@query("calibrate_apply")
+def q_calibrate_apply(spark, sf_dir):
+    s, classes = _scores(spark, sf_dir)
+    params = spark.createDataFrame(
+        [(fold, c, a - 0.5 * i, b + 0.1 * i) for fold, a, b in PLATT_FIXTURE for i, c in enumerate(classes)],
+        "fold int, class string, a double, b double")
+    folds = F.explode(F.array(*[F.lit(f) for f, _, _ in PLATT_FIXTURE])).alias("fold")
+    m = s.select("id", "class", F.col("score").alias("m"), folds)
+    return C.platt_apply(m, params).select("id", "class", F.round("p", R6).alias("p"))
+
+
+@query("train_score")
+def q_train_score(spark, sf_dir):
+    """M2/M3: calibrated linear SVM fitted on the seed-42 training part,
+    probabilities for the held-out part (no oracle: iterative fit)."""
+    from switchyard.operators.train import holdout_train_score
+    probs, _, _ = holdout_train_score(pool(spark, sf_dir))
+    return probs
+
+
+@query("label_ablation")
+def q_label_ablation(spark, sf_dir):
+    """M7/M8: production fits on the corrected label and on the raw tag,
+    both evaluated on the audited rows they never saw."""
+    from switchyard.operators.train import train_and_score
+    t = FX.Tables(spark, sf_dir)
+    audit = FX.audit_table(t)
+    docs = msgs(spark, sf_dir).join(audit.select("id", F.lit(True).alias("audited")), "id", "left")
+    docs = docs.withColumn("in_pool", F.col("audited").isNull())
+    raw_tag = F.when(F.col("id") % 7 == 0, F.lit("en")).otherwise(F.col("label"))
+    out = None
+    for target, lab in (("corrected_label", F.col("label")), ("raw_tag", raw_tag)):
+        d = docs.withColumn("target", F.when(F.col("in_pool"), lab))
+        d = X.exact_class_rank(d.where("in_pool"), ["target"], "id", SPLIT_SEED).unionByName(
+            d.where(~F.col("in_pool")).withColumn("class_rank", F.lit(None).cast("bigint")))
+        probs, _ = train_and_score(d.select("id", "text", "target", "class_rank", "in_pool"), "in_pool", "target")
+        pred = E.argmax(probs)
+        res = E.audit_accuracy(audit, pred).select(F.lit(target).alias("trained_on"), "n",
+                                                   "production_model_correct", "production_model_accuracy",
+                                                   "source_tag_correct")
+        out = res if out is None else out.unionByName(res)
+    return out
