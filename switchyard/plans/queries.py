@@ -22,11 +22,18 @@ def query(name: str):
     return deco
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = FX.Tables(spark, sf_dir)
     return P.prepare_tickets(FX.raw_tickets(t), FX.roster(t), POLICY)
 
 
+def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared fact, written once per application (partitioned by
+    month) and read by every ticket query."""
+    from switchyard.plans.materialize import materialized
+    return materialized(spark, "prepared_tickets", sf_dir, lambda: build_fact(spark, sf_dir), "month")
+
+
 @query("routing_matrix")
 def q_routing_matrix(spark, sf_dir):
     return V.routing_matrix(fact(spark, sf_dir))
@@ -421,29 +428,43 @@ def q_word_tokens(spark, sf_dir):
     return TF.doc_summary(TF.term_counts(msgs_by_id(spark, sf_dir), spec))
 
 
+def term_table(spark, sf_dir, spec):
+    """(id, term, tf) of every message for one block, written once."""
+    from switchyard.plans.materialize import materialized
+    return materialized(spark, f"term_counts_{spec.name}", sf_dir,
+                        lambda: TF.term_counts(msgs_by_id(spark, sf_dir), spec))
+
+
+def term_tables(spark, sf_dir):
+    return {s.name: term_table(spark, sf_dir, s) for s in TF.BLOCKS}
+
+
 @query("word_ngrams")
 def q_word_ngrams(spark, sf_dir):
-    return TF.doc_summary(TF.term_counts(msgs_by_id(spark, sf_dir), TF.WORD))
+    return TF.doc_summary(term_table(spark, sf_dir, TF.WORD))
 
 
 @query("char_ngrams")
 def q_char_ngrams(spark, sf_dir):
-    return TF.doc_summary(TF.term_counts(msgs_by_id(spark, sf_dir), TF.CHAR))
+    return TF.doc_summary(term_table(spark, sf_dir, TF.CHAR))
 
 
 @query("vocabulary")
 def q_vocabulary(spark, sf_dir):
-    tr = TF.partition_by_id(train_docs(spark, sf_dir))
+    tr = train_docs(spark, sf_dir)
     n = TF.count_docs(tr)
-    parts = [TF.fit_vocabulary(TF.term_counts(tr, s), n, s) for s in TF.BLOCKS]
+    ids = tr.select("id")
+    parts = [TF.fit_vocabulary(term_table(spark, sf_dir, s).join(ids, "id", "left_semi"), n, s)
+             for s in TF.BLOCKS]
     v = parts[0].unionByName(parts[1])
     return v.select("block", "term", "df", "total_tf", F.round("idf", R6).alias("idf"))
 
 
 def _block_features(spark, sf_dir, spec):
-    tr = TF.partition_by_id(train_docs(spark, sf_dir))
-    vocab = TF.fit_vocabulary(TF.term_counts(tr, spec), TF.count_docs(tr), spec)
-    return TF.tfidf(TF.term_counts(msgs_by_id(spark, sf_dir), spec), vocab, spec)
+    tr = train_docs(spark, sf_dir)
+    tf = term_table(spark, sf_dir, spec)
+    vocab = TF.fit_vocabulary(tf.join(tr.select("id"), "id", "left_semi"), TF.count_docs(tr), spec)
+    return TF.tfidf(tf, vocab, spec)
 
 
 @query("tfidf_word")
@@ -458,7 +479,8 @@ def q_tfidf_char(spark, sf_dir):
 
 @query("feature_union")
 def q_feature_union(spark, sf_dir):
-    feats, _ = TF.fit_transform(TF.partition_by_id(train_docs(spark, sf_dir)), msgs_by_id(spark, sf_dir))
+    feats, _ = TF.fit_transform(train_docs(spark, sf_dir), msgs(spark, sf_dir),
+                                tf_tables=term_tables(spark, sf_dir))
     return TF.feature_summary(feats)
 
 
@@ -467,8 +489,8 @@ from switchyard.operators import classify as C  # noqa: E402
 
 
 def _centroid_model(spark, sf_dir):
-    tr = TF.partition_by_id(train_docs(spark, sf_dir))
-    feats, _ = TF.fit_transform(tr, msgs_by_id(spark, sf_dir))
+    tr = train_docs(spark, sf_dir)
+    feats, _ = TF.fit_transform(tr, msgs(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))
     labelled = tr.select("id", "label")
     w = C.centroid_weights(feats, labelled)
     return feats, w, C.intercepts(w), C.class_list(labelled, "label")
@@ -515,7 +537,7 @@ def q_train_score(spark, sf_dir):
     """M2/M3: calibrated linear SVM fitted on the seed-42 training part,
     probabilities for the held-out part (no oracle: iterative fit)."""
     from switchyard.operators.train import holdout_train_score
-    probs, _, _ = holdout_train_score(pool(spark, sf_dir))
+    probs, _, _ = holdout_train_score(pool(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))
     return probs
 
 
@@ -523,21 +545,23 @@ def q_train_score(spark, sf_dir):
 def q_label_ablation(spark, sf_dir):
     """M7/M8: production fits on the corrected label and on the raw tag,
     both evaluated on the audited rows they never saw."""
-    from switchyard.operators.train import train_and_score
+    from switchyard.operators.train import fit_and_score, prepare_vectors
     t = FX.Tables(spark, sf_dir)
     audit = FX.audit_table(t)
     docs = msgs(spark, sf_dir).join(audit.select("id", F.lit(True).alias("audited")), "id", "left")
-    docs = docs.withColumn("in_pool", F.col("audited").isNull())
-    raw_tag = F.when(F.col("id") % 7 == 0, F.lit("en")).otherwise(F.col("label"))
+    docs = docs.withColumn("in_pool", F.col("audited").isNull()).withColumn(
+        "raw_tag", F.when(F.col("id") % 7 == 0, F.lit("en")).otherwise(F.col("label")))
+    # One vocabulary and one vector table serve both fits: the training rows
+    # (the pool) are the same, only the target differs.
+    vecs = prepare_vectors(docs.select("id", "text", "label", "raw_tag", "in_pool"), "in_pool",
+                           ["label", "raw_tag", "in_pool"], tf_tables=term_tables(spark, sf_dir))
     out = None
-    for target, lab in (("corrected_label", F.col("label")), ("raw_tag", raw_tag)):
-        d = docs.withColumn("target", F.when(F.col("in_pool"), lab))
-        d = X.exact_class_rank(d.where("in_pool"), ["target"], "id", SPLIT_SEED).unionByName(
-            d.where(~F.col("in_pool")).withColumn("class_rank", F.lit(None).cast("bigint")))
-        probs, _ = train_and_score(d.select("id", "text", "target", "class_rank", "in_pool"), "in_pool", "target")
-        pred = E.argmax(probs)
-        res = E.audit_accuracy(audit, pred).select(F.lit(target).alias("trained_on"), "n",
-                                                   "production_model_correct", "production_model_accuracy",
-                                                   "source_tag_correct")
+    for target in ("label", "raw_tag"):
+        pool_part = X.exact_class_rank(vecs.where("in_pool"), [target], "id", SPLIT_SEED)
+        rest = vecs.where(~F.col("in_pool")).withColumn("class_rank", F.lit(None).cast("bigint"))
+        probs, _ = fit_and_score(pool_part.unionByName(rest), "in_pool", target)
+        res = E.audit_accuracy(audit, E.argmax(probs)).select(
+            F.lit("corrected_label" if target == "label" else "raw_tag").alias("trained_on"), "n",
+            "production_model_correct", "production_model_accuracy", "source_tag_correct")
         out = res if out is None else out.unionByName(res)
     return out
