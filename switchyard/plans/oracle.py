@@ -615,11 +615,15 @@ Q["char_ngrams"] = with_(MSGS) + f", tf AS ({_tf(_char_terms('msgs'))})" + SUMMA
 
 
 def _vocab_ctes() -> str:
+    """Term counts of every message once per block; the training counts are
+    the rows of training ids (no second pass over the text)."""
     return HOLDOUT.rstrip() + f""",
 train AS (SELECT id, text FROM split WHERE NOT is_test),
 ntrain AS (SELECT count(*) AS n FROM train),
-wtf AS ({_tf(_word_terms('train', True))}),
-ctf AS ({_tf(_char_terms('train'))}),
+wtf_all AS ({_tf(_word_terms('msgs', True))}),
+ctf_all AS ({_tf(_char_terms('msgs'))}),
+wtf AS (SELECT * FROM wtf_all WHERE id IN (SELECT id FROM train)),
+ctf AS (SELECT * FROM ctf_all WHERE id IN (SELECT id FROM train)),
 wst AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM wtf GROUP BY term),
 cst AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM ctf GROUP BY term),
 wvoc AS (
@@ -640,27 +644,18 @@ SELECT block, term, df::BIGINT, total_tf::BIGINT, round(idf, 6) FROM cvoc"""
 def _features_cte(blocks) -> str:
     parts = []
     for b in blocks:
-        src = _word_terms("msgs", True) if b == "word" else _char_terms("msgs")
+        tf_all = "wtf_all" if b == "word" else "ctf_all"
         voc = "wvoc" if b == "word" else "cvoc"
         parts.append(f"""
 {b}_w AS (
   SELECT id, '{b}' AS block, tf.term, (1 + ln(tf)) * idf AS w
-  FROM ({_tf(src)}) tf JOIN {voc} USING (term)),
+  FROM {tf_all} tf JOIN {voc} USING (term)),
 {b}_f AS (SELECT id, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {b}_w)""")
     union = " UNION ALL ".join(f"SELECT * FROM {b}_f" for b in blocks)
     return "," + ",".join(parts) + f",\nfeats AS ({union})\n"
 
 
 def _features(blocks) -> str:
-    parts = []
-    for b in blocks:
-        src = _word_terms("msgs", True) if b == "word" else _char_terms("msgs")
-        voc = "wvoc" if b == "word" else "cvoc"
-        parts.append(f"""
-{b}_w AS (
-  SELECT id, '{b}' AS block, tf.term, (1 + ln(tf)) * idf AS w
-  FROM ({_tf(src)}) tf JOIN {voc} USING (term)),
-{b}_f AS (SELECT id, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {b}_w)""")
     return _features_cte(blocks) + """
 SELECT id, count(*) FILTER (WHERE block = 'word')::BIGINT AS nnz_word,
        count(*) FILTER (WHERE block = 'char')::BIGINT AS nnz_char,
