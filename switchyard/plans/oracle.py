@@ -596,8 +596,8 @@ def _word_terms(src: str, bigrams: bool) -> str:
 def _char_terms(src: str) -> str:
     parts = []
     for n in (3, 4, 5):
-        parts.append(f"SELECT id, substr(t, i, {n}) AS term FROM (SELECT id, {CHARTEXT} AS t FROM {src}), "
-                     f"unnest(range(1, length(t) - {n} + 2)) AS r(i)")
+        parts.append(f"SELECT id, unnest(list_transform(range(1, length(t) - {n} + 2), "
+                     f"lambda i: substr(t, i, {n}))) AS term FROM (SELECT id, {CHARTEXT} AS t FROM {src})")
     return " UNION ALL ".join(parts)
 
 
