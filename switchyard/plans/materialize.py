@@ -26,7 +26,13 @@ def materialized(spark: SparkSession, name: str, source: str, build: Callable[[]
     digest = hashlib.md5(source.encode()).hexdigest()[:10]
     path = scratch_path(spark, f"{app}/{name}-{digest}")
     if path not in _WRITTEN:
-        w = build().write.mode("overwrite")
+        df = build()
+        if partition_by:
+            # rebalance: AQE coalesces small partitions and splits a hot one,
+            # so each directory gets a few right-sized files (no small-file
+            # explosion, no single task writing a skewed month)
+            df = df.hint("rebalance", partition_by)
+        w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(path)
