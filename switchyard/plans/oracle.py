@@ -700,3 +700,10 @@ q AS (
   SELECT id, fold, class, 1.0 / (1.0 + exp(a * score + b)) AS q FROM scores JOIN params USING (class)),
 qn AS (SELECT id, fold, class, coalesce(q / sum(q) OVER (PARTITION BY id, fold), 0.0) AS qn FROM q)
 SELECT id, class, round(avg(qn), 6) AS p FROM qn GROUP BY id, class"""
+
+Q["sample_category_count"] = FACT + """, s AS (
+  SELECT ticket_id, category, row_number() OVER (PARTITION BY category
+           ORDER BY md5('42:' || CAST(ticket_id AS VARCHAR)), ticket_id) AS rk
+  FROM fact)
+SELECT count(*)::BIGINT AS n_sampled, count(DISTINCT category)::BIGINT AS n_categories
+FROM s WHERE rk <= 10"""

@@ -566,3 +566,10 @@ def q_label_ablation(spark, sf_dir):
             "production_model_correct", "production_model_accuracy", "source_tag_correct")
         out = res if out is None else out.unionByName(res)
     return out
+
+
+@query("sample_category_count")
+def q_sample_category_count(spark, sf_dir):
+    """Rows and distinct categories in the per-category audit sample."""
+    s = X.stratified_sample(fact(spark, sf_dir), "category", "ticket_id", 10, SPLIT_SEED)
+    return s.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_distinct("category").alias("n_categories"))
