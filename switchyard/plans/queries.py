@@ -491,7 +491,9 @@ from switchyard.operators import classify as C  # noqa: E402
 def _centroid_model(spark, sf_dir):
     tr = train_docs(spark, sf_dir)
     feats, _ = TF.fit_transform(tr, msgs(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))
-    feats = feats.persist()  # read by the weights and by the scoring join
+    # The feature table is read by the weights and by the scoring join, and
+    # by the three centroid queries; persisting lets the cache manager share it.
+    feats = feats.persist()
     labelled = tr.select("id", "label")
     w = C.centroid_weights(feats, labelled).persist()  # small: classes x vocabulary
     return feats, w, C.intercepts(w), C.class_list(labelled, "label")
