@@ -35,17 +35,15 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 def with_range(df: DataFrame, column: str, bounds: list[int], name: str) -> DataFrame:
     """``name``: how many of the ascending ``bounds`` (without the first) lie at or
-    below ``column``, by a binary search of log2 projections."""
+    below ``column``, by a binary search."""
     table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
-    out = df.withColumn(name, F.lit(0))
-    step = 1
-    while step * 2 < len(bounds):
-        step *= 2
-    while step:
-        ahead = F.col(name) + step
-        out = out.withColumn(name, F.when((ahead < len(bounds)) & (F.get(table, ahead) <= F.col(column)), ahead).otherwise(F.col(name)))
-        step //= 2
-    return out
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def move(at, step):
+        ahead = at + step
+        return F.when((ahead < len(bounds)) & (F.get(table, ahead) <= F.col(column)), ahead).otherwise(at)
+
+    return df.withColumn(name, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), move))
 
 
 def range_bounds(df: DataFrame, column: str, buckets: int, rows: int) -> list[int]:
