@@ -39,11 +39,14 @@ def with_range(df: DataFrame, column: str, bounds: list[int], name: str) -> Data
     table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
-    def move(at, step):
-        ahead = at + step
-        return F.when((ahead < len(bounds)) & (F.get(table, ahead) <= F.col(column)), ahead).otherwise(at)
-
-    return df.withColumn(name, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), move))
+    # the value travels in the accumulator: Spark loses a column that a lambda captures in a grouping key
+    def move(acc, step):
+        ahead = acc["at"] + step
+        at = F.when((ahead < len(bounds)) & (F.get(table, ahead) <= acc["x"]), ahead).otherwise(acc["at"])
+        return F.struct(at.alias("at"), acc["x"].alias("x"))
+
+    start = F.struct(F.lit(0).alias("at"), F.col(column).alias("x"))
+    return df.withColumn(name, F.aggregate(F.array(*[F.lit(x) for x in steps]), start, move, lambda acc: acc["at"]))
 
 
 def range_bounds(df: DataFrame, column: str, buckets: int, rows: int) -> list[int]:
