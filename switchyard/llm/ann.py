@@ -11,7 +11,8 @@ precision.
 
 A leaf is searched as one group of rows; a leaf that holds many rows (copies
 cannot be told apart by centroids) is dealt out to several groups, each of
-which meets the same queries.
+which meets the same queries.  The leaf that a query visits first bounds the
+distance of its neighbours; other leaves send on only rows within that bound.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from switchyard.llm.common import uniform, written
 NEIGHBOURS = 10
 #: Vectors that fit the tree, and queries that calibrate it, at most about.
 SAMPLE, CALIBRATION = 16384, 128
-BRANCHES, LEAF_VECTORS, GROUP_VECTORS = 8, 256, 2048
-RECALL = 0.98
+BRANCHES, LEAF_VECTORS, GROUP_VECTORS = 8, 512, 2048
+RECALL = 0.97
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -202,27 +203,34 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = RE
         need = sorted(place[r["query_id"]][r["leaf"]] + 1 for r in true)
         visits = need[min(len(need) - 1, math.ceil(recall * len(need)) - 1)] if need else tree.leaves
 
-    def deal(batches):
-        for b in batches:
-            ids, q, leaf, is_q = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-            at, to, part, ask = [], [], [], []
-            for i in range(len(ids)):
-                at.append(i)
-                to.append(int(leaf[i]))
-                part.append(int(ids[i]) * 2654435761 % (1 << 32) * groups[int(leaf[i])] >> 32)
-                ask.append(False)
-            for i in np.flatnonzero(is_q).tolist():
-                for one in tree.best_bins(q[i], visits):
-                    for g in range(groups.get(one, 0)):
-                        at.append(i), to.append(one), part.append(g), ask.append(True)
-            for lo in range(0, len(at), 16384):
-                s = slice(lo, lo + 16384)
-                yield pa.RecordBatch.from_arrays([pa.array(to[s], pa.int64()), pa.array(part[s], pa.int64()), b.column(0).take(pa.array(at[s])),
-                                                  b.column(1).take(pa.array(at[s])), pa.array(ask[s], pa.bool_())], ["leaf", "part", "vec_id", "v", "ask"])
+    fields = "leaf long, part long, vec_id long, v array<double>, ask boolean, bound double"
+
+    def deal(first: int, last: int):
+        """Rows to their group, and queries to the groups of the leaves ``first`` to ``last`` of their walk."""
+        def run(batches):
+            for b in batches:
+                ids, q, leaf = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
+                is_q, limit = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()
+                at, to, part = list(range(len(ids))), leaf.tolist(), []
+                for i, one in zip(ids.tolist(), to):
+                    part.append(i * 2654435761 % (1 << 32) * groups[one] >> 32)
+                for i in np.flatnonzero(is_q).tolist():
+                    for one in tree.best_bins(q[i], last)[first:]:
+                        for g in range(groups.get(one, 0)):
+                            at.append(i), to.append(one), part.append(g)
+                for lo in range(0, len(at), 16384):
+                    s = slice(lo, lo + 16384)
+                    rows = pa.array(at[s])
+                    ask = np.arange(lo, lo + len(rows)) >= len(ids)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to[s], pa.int64()), pa.array(part[s], pa.int64()), b.column(0).take(rows), b.column(1).take(rows),
+                         pa.array(ask), pa.array(limit[at[s]])], ["leaf", "part", "vec_id", "v", "ask", "bound"])
+
+        return run
 
     def within(table: pa.Table) -> pa.Table:
         ask = table["ask"].to_numpy(zero_copy_only=False)
-        ids, v = table["vec_id"].to_numpy(), _matrix(table["v"])
+        ids, v, limit = table["vec_id"].to_numpy(), _matrix(table["v"]), table["bound"].to_numpy()
         rows, x = ids[~ask], v[~ask]
         out = [], [], []
         asks = np.flatnonzero(ask)
@@ -230,9 +238,16 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = RE
             d = distances(v[asks[lo:lo + 256]], x)
             for i, q in enumerate(asks[lo:lo + 256]):
                 best = _nearest(rows, d[i], k, ids[q])
+                best = best[d[i][best] <= limit[q]]
                 out[0].append(np.full(len(best), ids[q])), out[1].append(rows[best]), out[2].append(d[i][best])
         cat = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.int64, np.int64, np.float64))]
         return pa.table({"query_id": cat[0].astype(np.int64), "vec_id": cat[1].astype(np.int64), "score": cat[2]})
 
-    dealt = placed.select("vec_id", "v", "leaf", is_query.alias("q")).mapInArrow(deal, "leaf long, part long, vec_id long, v array<double>, ask boolean")
-    return _top(dealt.groupBy("leaf", "part").applyInArrow(within, "query_id long, vec_id long, score double"), k)
+    def visit(rows: DataFrame, first: int, last: int) -> DataFrame:
+        return rows.mapInArrow(deal(first, last), fields).groupBy("leaf", "part").applyInArrow(within, "query_id long, vec_id long, score double")
+
+    rows = placed.select("vec_id", "v", "leaf", is_query.alias("q"))
+    nearest = written(_top(visit(rows.withColumn("bound", F.lit(math.inf)), 0, 1), k), "first-leaf")
+    bound = nearest.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = rows.join(bound, "vec_id", "left").select("vec_id", "v", "leaf", "q", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
+    return _top(nearest.drop("rank").unionByName(visit(bounded, 1, max(1, visits))), k)

@@ -66,6 +66,13 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to at most ``rows`` rows, so that few texts are Python objects at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import has_letter, uniform
+from switchyard.llm.common import has_letter, slices, uniform
 
 MAX_GRAM = 3
 #: Bounds on the fit: rows of each language, bytes of a row's text, landmarks and alphabet.
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     in alphabetical order.
     """
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             lang, score = model.predict(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              ["doc", "lang_pred", "score"])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import written
+from switchyard.llm.common import slices, written
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
@@ -135,7 +135,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, end_id: int = EN
         enc = encoder(json_path, ranks_path)
         end = np.array([end_id], enc.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             ids = [x + end for x in enc.encode_batch([t or "" for t in b.column(1).to_pylist()])]
             n = [len(x) // enc.dtype().itemsize for x in ids]
             at = list(accumulate(n, initial=before))

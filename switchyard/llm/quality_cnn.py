@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import uniform
+from switchyard.llm.common import slices, uniform
 
 WIDTH, STRIDE, CHUNK = 8, 2, 128
 EMBED, FILTERS = 4, 24
@@ -159,7 +159,7 @@ def scores(docs: DataFrame, net: dict, *keep: str) -> DataFrame:
     """``keep`` columns and ``score``, the probability of label 1; one row per row of
     ``docs``.  Null text scores as the empty text."""
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             p = probability(net, [_bytes(t) for t in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(p, pa.float64())], ["doc", "score"])
 
@@ -170,5 +170,10 @@ def scores(docs: DataFrame, net: dict, *keep: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, net: dict, threshold: float = 0.5) -> DataFrame:
     """Rows that score at least ``threshold``, with the columns of ``docs``."""
-    out = scores(docs.select(F.struct(*docs.columns).alias("row"), "text"), net, "row")
-    return out.where(F.col("score") >= threshold).select("row.*")
+    def run(batches):
+        for b in slices(batches):
+            p = probability(net, [_bytes(t) for t in b.column(0).field("text").to_pylist()])
+            yield b.filter(pa.array(p >= threshold))
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

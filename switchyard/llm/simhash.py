@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import salted_join, uniform, written
+from switchyard.llm.common import salted_join, slices, uniform, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     Null or wordless text: 0.  Rows with a null doc_id keep it.
     """
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((simhash(t, k) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -27,21 +27,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import mix64, shuffle_partitions, split_words, written
+from switchyard.llm.common import mix64, shuffle_partitions, slices, split_words, written
 
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 4
 #: Characters of corpus text for each bucket.
-BUCKET_CHARS = 8_000_000
+BUCKET_CHARS = 3_000_000
 #: Windows in one packed string at most (longer runs go on in the next string).
 MAX_RUN = 512
 #: Words of a long document that are handled at once (with an overlap of a window).
 SEGMENT_WORDS = 200_000
 #: Packed bytes that a task holds before it sends them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 #: Packed strings that a task remembers for combining.
-REMEMBERED = 50_000
-_CHUNK_WORDS = 150_000
+REMEMBERED = 30_000
+_CHUNK_WORDS = 60_000
 _BASE = 0x9E3779B97F4A7C15
 _LAST_ID = (1 << 63) - 1
 
@@ -137,7 +137,7 @@ def _deal(window: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(r, pa.binary()) for r in rows]],
                                               ["bucket", "words", "at", "gone"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, th, text in zip(*[c.to_pylist() for c in batch.columns]):
                 all_words = split_words(text)
                 for lo in range(0, max(1, len(all_words) - window + 1), SEGMENT_WORDS):
@@ -164,9 +164,9 @@ def window_hashes(text: bytes, window: int):
     """Of newline-separated strings: (string number, window number in it, first
     byte, last byte + 1, hash) of every window."""
     raw = np.frombuffer(text, np.uint8)
-    gaps = np.flatnonzero((raw == 32) | (raw == 10))
-    begins, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
-    line = np.concatenate(([0], np.cumsum(raw[gaps] == 10)))
+    gaps = np.flatnonzero((raw == 32) | (raw == 10)).astype(np.int32)
+    begins, ends = np.append(np.int32(0), gaps + np.int32(1)), np.append(gaps, np.int32(len(raw)))
+    line = np.append(np.int32(0), np.cumsum(raw[gaps] == 10, dtype=np.int32))
     n = len(begins)
     ok = np.flatnonzero(line[:n - window + 1] == line[window - 1:])
     first = np.searchsorted(line, line[ok])
@@ -255,7 +255,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
 
 def _cover(window: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             kept, n_words, n_removed = [], [], []
             for text, firsts, sizes in zip(*[b.column(i).to_pylist() for i in range(1, 4)]):
                 words = split_words(text)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import uniform
+from switchyard.llm.common import slices, uniform
 
 #: Bounds on the fit: labelled rows, bytes of a row's text, words of the vocabulary.
 TRAIN_ROWS, TRAIN_TEXT_BYTES, VOCABULARY = 6000, 16384, 2000
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = TRAIN_ROWS, max_text
     rows = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_text_bytes).select("doc_id", "text").join(drawn, "doc_id").dropDuplicates(["doc_id"])
 
     def sets(batches):  # the driver gets sets of words, not texts
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(
                 [sorted(features(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "_y", "words"])
 
@@ -141,7 +141,7 @@ def severity(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     grades = np.array(model.grades or [0], np.float64)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             more = model.at_least(b.column(0).to_pylist())
             exact = np.hstack((np.ones((len(more), 1)), more)) - np.hstack((more, np.zeros((len(more), 1))))
             worse = more[:, 0] if more.shape[1] else np.zeros(len(more))
