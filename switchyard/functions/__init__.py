@@ -5,6 +5,6 @@ from switchyard.functions.columns import (  # noqa: F401
     null_tokens_to_null, parse_timestamp, ratio, strip_ws, shift_minutes,
 )
 from switchyard.functions.text import (  # noqa: F401
-    ACCENT_FROM, ACCENT_TO, TOKEN_PATTERN, char_ngrams, fold_accents, word_ngrams, word_tokens,
+    TOKEN_PATTERN, char_ngrams, fold_accents, word_ngrams, word_tokens,
     collapse_ws,
 )

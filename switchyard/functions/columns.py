@@ -11,8 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
-# Text tokens that a CSV export uses for "missing".
-NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "none", "#N/A", "<NA>", "n/a")
+# The spellings of "missing" in a CSV export, exactly as they stand in a cell.
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 # Accepted timestamp layouts, tried in order.
 TIMESTAMP_FORMATS = (
@@ -31,7 +32,7 @@ def c(x) -> Column:
 def null_tokens_to_null(x, tokens=NULL_TOKENS) -> Column:
     """Map CSV null spellings to real nulls (pandas reads them as missing)."""
     col = c(x)
-    return F.when(F.trim(col).isin(list(tokens)), F.lit(None).cast(StringType())).otherwise(col)
+    return F.when(col.isin(list(tokens)), F.lit(None).cast(StringType())).otherwise(col)
 
 
 def parse_timestamp(x, data_type: DataType | None = None, formats=TIMESTAMP_FORMATS) -> Column:

@@ -1,30 +1,17 @@
-"""Join helpers: size-checked broadcast, many-to-one guard, as-of and fallback lookups."""
+"""Join helpers: many-to-one, as-of and fallback lookups."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when a bounded count proves it small; beyond
-# that the planner (sort-merge / shuffle-hash, AQE skew splitting) takes over.
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(dim)`` if it has at most ``max_rows`` rows, else ``dim``.
-
-    ``limit(max_rows + 1).count()`` stops reading once the bound is passed,
-    so the check costs at most one bounded scan of the dimension.
-    """
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
-def lookup_many_to_one(fact: DataFrame, dim: DataFrame, key: str, how: str = "left",
-                       max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def lookup_many_to_one(fact: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Left many-to-one lookup.  Dimension uniqueness is checked separately
-    (``quality.duplicate_keys``) because a silent fan-out would double count."""
-    return fact.join(broadcast_if_small(dim, max_broadcast_rows), on=key, how=how)
+    (``quality.duplicate_keys``) because a silent fan-out would double count.
+    Whether the dimension is broadcast is decided by its bytes
+    (``spark.sql.autoBroadcastJoinThreshold``, AQE)."""
+    return fact.join(dim, on=key, how=how)
 
 
 def asof_lookup(fact: DataFrame, dim: DataFrame, key: str, ts: Column,

@@ -26,6 +26,15 @@ def hash_key(id_col: str, seed) -> Column:
     return F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
+    """Inner equi-join in which null keys (rows without a class) match each other."""
+    r = right
+    for k in keys:
+        r = r.withColumnRenamed(k, f"__r_{k}")
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+
+
 def exact_class_rank(df: DataFrame, group_cols: list, id_col: str, seed,
                      hex_digits: int = BUCKET_HEX_DIGITS, rank_col: str = "class_rank") -> DataFrame:
     """1-based rank of each row inside its group in (md5(seed:id), id) order."""
@@ -36,7 +45,7 @@ def exact_class_rank(df: DataFrame, group_cols: list, id_col: str, seed,
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
     inner = Window.partitionBy(*group_cols, "__b").orderBy("__h", id_col)
     ranked = x.withColumn("__r", F.row_number().over(inner))
-    return (ranked.join(offsets, [*group_cols, "__b"])
+    return (_join_null_safe(ranked, offsets, [*group_cols, "__b"])
             .withColumn(rank_col, F.col("__off") + F.col("__r"))
             .drop("__h", "__b", "__off", "__r"))
 
@@ -90,7 +99,7 @@ def stratified_holdout(df: DataFrame, label: str, id_col: str, test_fraction=0.2
     group_cols = list(group_cols or [])
     sizes = holdout_sizes(df, group_cols, label, test_fraction)
     ranked = exact_class_rank(df, group_cols + [label], id_col, seed if seed_col is None else seed_col)
-    return (ranked.join(F.broadcast(sizes), group_cols + [label])
+    return (_join_null_safe(ranked, F.broadcast(sizes), group_cols + [label])
             .withColumn("is_test", F.col("class_rank") <= F.col("n_test")))
 
 

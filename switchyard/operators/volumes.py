@@ -15,10 +15,16 @@ def crosstab_long(df: DataFrame, row: str, col: str, count_col: str = "n") -> Da
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
-    """Wide form with an explicit, stable column list; absent cells are 0."""
+    """Wide form with an explicit, stable column list; absent cells are 0.
+
+    A value outside the list fails the query: it would vanish otherwise.
+    """
+    listed = F.col(col).isin(list(values))
     wide = (df.select(row, col).dropna(subset=[row, col])
-            .groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))))
-    return wide.na.fill(0, subset=list(values))
+            .groupBy(row).agg(*[F.count_if(F.col(col) == v).alias(v) for v in values],
+                              F.count_if(~listed).alias("__unlisted")))
+    checked = wide.where(F.assert_true(F.col("__unlisted") == 0, f"{col} has values outside the list").isNull())
+    return checked.drop("__unlisted")
 
 
 def monthly_by_category(prepared: DataFrame) -> DataFrame:

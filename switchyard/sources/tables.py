@@ -4,8 +4,6 @@ failing the job."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +35,31 @@ ROSTER_TYPES = {"tier": "int", "from_date": "date", "to_date": "date"}
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple) -> DataFrame:
+    """Columns by the names in the header, in whatever order; text only.
+
+    A missing required column is an error, another missing one is null.  Files
+    of one glob must agree on their header (``enforceSchema`` is off: Spark
+    compares each file's header and fails instead of binding by position).
+    multiLine keeps quoted newlines inside a message; such files are not
+    splittable, so convert once to parquet for repeated use.
+    """
+    raw = (spark.read.option("header", True).option("multiLine", True).option("enforceSchema", False)
+           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    lost = [c for c in required if c not in raw.columns]
+    if lost:
+        raise ValueError(f"{path}: no column {', '.join(lost)}")
+    return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")).alias(f.name)
+                        for f in schema.fields])
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType):
-    # multiLine keeps quoted newlines inside a message; such files are not
-    # splittable, so convert once to parquet for repeated use.
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE"))
+def _whole_number(col):
+    """An integer, also when the export wrote it as ``4.0``; null for a fraction."""
+    value = col.try_cast("decimal(28,9)")
+    return F.when(value == F.floor(value), value.try_cast("int"))
 
 
 def typed_tickets(raw: DataFrame, types: dict | None = None) -> DataFrame:
@@ -62,17 +77,18 @@ def typed_tickets(raw: DataFrame, types: dict | None = None) -> DataFrame:
         elif target == "timestamp_ntz":
             out.append(parse_timestamp(col, raw.schema[name].dataType).alias(name))
         else:
-            out.append(col.try_cast(target).alias(name))
+            number = target == "int" and dtypes[name] == "string"
+            out.append((_whole_number(col) if number else col.try_cast(target)).alias(name))
     return raw.select(*out)
 
 
 def read_ticket_csv(spark: SparkSession, path_glob: str) -> DataFrame:
     """All files matching the glob (not an arbitrary first one)."""
-    return typed_tickets(_csv_reader(spark, TICKET_SCHEMA).csv(path_glob))
+    return typed_tickets(_read_csv(spark, path_glob, TICKET_SCHEMA, ("ticket_id", "created_at")))
 
 
 def read_roster_csv(spark: SparkSession, path_glob: str) -> DataFrame:
-    raw = _csv_reader(spark, ROSTER_SCHEMA).csv(path_glob)
+    raw = _read_csv(spark, path_glob, ROSTER_SCHEMA, ("agent_id", "team"))
     return typed_tickets(raw, ROSTER_TYPES)
 
 
@@ -84,9 +100,16 @@ AUDIT_SCHEMA = T.StructType([
 
 
 def read_audit(spark: SparkSession, path: str | None) -> DataFrame:
-    """The audit set; an empty frame with the same schema when it is absent."""
-    if path and os.path.exists(path):
-        if path.endswith(".parquet") or os.path.isdir(path):
-            return spark.read.parquet(path)
-        return _csv_reader(spark, AUDIT_SCHEMA).csv(path)
+    """The audit set; an empty frame with the same schema when it is absent.
+
+    The path's own file system says whether it is there; any other trouble with
+    that file system is raised, as audited rows would leak into training.
+    """
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            if path.endswith(".parquet") or fs.getFileStatus(at).isDirectory():
+                return spark.read.parquet(path)
+            return _read_csv(spark, path, AUDIT_SCHEMA, ("ticket_id",))
     return spark.createDataFrame([], AUDIT_SCHEMA)

@@ -1,12 +1,12 @@
 """ST1: score and route arriving messages with a batch-fitted model.
 
-source (parquet files, fixed schema) -> event-time watermark ->
-``dropDuplicatesWithinWatermark`` on the message id (bounded state) ->
-``foreachBatch``: the batch scoring chain per micro-batch -> parquet sink
-partitioned by batch id.  Writing per batch id is idempotent: a replayed
-micro-batch overwrites its own partition, so a restart after a lost executor
-or driver produces the same output (checkpointed offsets + deterministic
-batch content).
+source (parquet files, fixed schema) -> ``foreachBatch``: ids that the sink
+already holds from earlier batches are left out, the batch scoring chain runs
+on the rest -> parquet sink partitioned by batch id.  No message is dropped for
+being late: repeats are found in the sink, not in a bounded state.  Writing per
+batch id is idempotent: a replayed micro-batch looks at earlier batches only
+and overwrites its own partition, so a restart after a lost executor or driver
+gives the same output.
 """
 
 from __future__ import annotations
@@ -18,32 +18,44 @@ from pyspark.sql import types as T
 from switchyard.operators.scoring import ScoringModel, score_and_route
 from switchyard.policy import Policy
 
-MESSAGE_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-])
 
 
-def message_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .parquet(path))
+def message_schema(id_type: str = "long") -> T.StructType:
+    return T.StructType([
+        T.StructField("id", T.StringType() if id_type == "string" else T.LongType()),
+        T.StructField("message", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
+    ])
+
+
+def message_stream(spark: SparkSession, path: str, max_files: int | None = None, id_type: str = "long") -> DataFrame:
+    """``max_files`` bounds the files of a micro-batch (default: all that are there)."""
+    reader = spark.readStream.schema(message_schema(id_type))
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def start_triage_stream(spark: SparkSession, source_path: str, sink_path: str, checkpoint: str,
-                        model: ScoringModel, policy: Policy, channel_col, watermark: str = "1 day",
-                        available_now: bool = True):
-    stream = (message_stream(spark, source_path)
-              .withWatermark("ts", watermark)
-              .dropDuplicatesWithinWatermark(["id"]))
+                        model: ScoringModel, policy: Policy, channel_col, available_now: bool = True,
+                        max_files: int | None = None, id_type: str = "long", every: str = "10 seconds"):
+    stream = message_stream(spark, source_path, max_files, id_type)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        routed = score_and_route(model, batch, policy, channel_col)
-        (routed.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(sink_path))
+        batch = batch.dropDuplicates(["id"])
+        session = batch.sparkSession
+        if batch_id > 0:
+            kind = batch.schema["id"].dataType.simpleString()
+            done = session.read.schema(f"id {kind}, batch_id int").parquet(sink_path).where(F.col("batch_id") < batch_id)
+            batch = batch.join(done.select("id"), "id", "left_anti")
+        batch = batch.persist()  # scored and joined: read twice
+        try:
+            routed = score_and_route(model, batch, policy, channel_col)
+            (routed.withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(sink_path))
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
     return w.start()

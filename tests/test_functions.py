@@ -33,7 +33,7 @@ def test_bad_timestamps_become_null_and_layouts_parse(spark):
 
 def test_null_tokens(spark):
     out = one(spark, FC.null_tokens_to_null("s"), "s string", [("NA",), ("",), ("null",), ("x",), (" None ",)])
-    assert out == [None, None, None, "x", None]
+    assert out == [None, None, None, "x", " None "]
 
 
 def test_strip_removes_all_surrounding_whitespace(spark):

@@ -34,8 +34,13 @@ def test_stream_matches_batch(spark, tmp_path):
     raw.select("id", "message", "source", "ts").repartition(4).write.parquet(src)
     # a replayed message in a separate file must be dropped by the dedup
     raw.where("id = 3").select("id", "message", "source", "ts").write.mode("append").parquet(src)
+    # and a message far older than the others, in a later micro-batch, must be kept
+    late = raw.where("id = 5").withColumn("id", F.lit(-5).cast("long")).withColumn(
+        "ts", F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    late.select("id", "message", "source", "ts").write.mode("append").parquet(src)
+    raw = raw.unionByName(late, allowMissingColumns=True)
     q = start_triage_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ckpt"), m,
-                            QQ.TRIAGE_POLICY, FX.message_channel())
+                            QQ.TRIAGE_POLICY, FX.message_channel(), max_files=2)
     q.awaitTermination(240)
     streamed = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
     batch = score_and_route(m, raw, QQ.TRIAGE_POLICY, FX.message_channel())
