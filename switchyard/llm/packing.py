@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import slices, written
+from switchyard.llm.common import short_batches, slices, written
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-_OUT_BYTES = 16 << 20
+_OUT_BYTES = 4 << 20
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -44,7 +44,7 @@ class Encoder(dict):
     anything but a plain character the pieces are put together again first.
     """
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, json_path: str, ranks_path: str):
         import base64
@@ -145,7 +145,7 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, end_id: int = EN
                  pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64())],
                 ["doc_id", "ids", "tokens", "part", "before"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, ids binary, tokens long, part long, before long")
 
 
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, length: int = SEQUENCE_TOKENS, end_id: int = END_ID, f
 
     def cut(batches):
         rows, held = [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc, ids, n, part, before in zip(*[c.to_pylist() for c in b.columns]):
                 at = base[part] + before
                 ids = np.frombuffer(ids, narrow).astype("<u4").tobytes()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import slices, uniform
+from switchyard.llm.common import short_batches, slices, uniform
 
 WIDTH, STRIDE, CHUNK = 8, 2, 128
 EMBED, FILTERS = 4, 24
@@ -163,7 +163,7 @@ def scores(docs: DataFrame, net: dict, *keep: str) -> DataFrame:
             p = probability(net, [_bytes(t) for t in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(p, pa.float64())], ["doc", "score"])
 
-    src = docs.select("text", F.struct(*keep).alias("doc"))
+    src = short_batches(docs).select("text", F.struct(*keep).alias("doc"))
     out = src.mapInArrow(run, src.select("doc").schema.add("score", "double"))
     return out.select(*[F.col("doc").getField(c).alias(c) for c in keep], "score")
 
@@ -175,5 +175,5 @@ def keep_good(docs: DataFrame, net: dict, threshold: float = 0.5) -> DataFrame:
             p = probability(net, [_bytes(t) for t in b.column(0).field("text").to_pylist()])
             yield b.filter(pa.array(p >= threshold))
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = short_batches(docs).select(F.struct(*docs.columns).alias("row"))
     return rows.mapInArrow(run, rows.schema).select("row.*")

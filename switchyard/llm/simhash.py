@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import salted_join, slices, uniform, written
+from switchyard.llm.common import salted_join, short_batches, slices, uniform, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             fp = np.fromiter((simhash(t, k) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 # ------------------------------------------------------------ vantage-point trees

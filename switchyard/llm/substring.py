@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.common import mix64, shuffle_partitions, slices, split_words, written
+from switchyard.llm.common import mix64, short_batches, shuffle_partitions, slices, split_words, written
 
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 4
@@ -247,7 +247,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-chars // BUCKET_CHARS))
-    packed = docs.select("_id", "_th", "text").mapInArrow(
+    packed = short_batches(docs).select("_id", "_th", "text").mapInArrow(
         _deal(window, buckets), "bucket long, words binary, at binary, gone binary")
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         _bucket(window), "_id long, _th long, first long, n long")
