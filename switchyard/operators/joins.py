@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def lookup_many_to_one(fact: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Left many-to-one lookup.  Dimension uniqueness is checked separately
-    (``quality.duplicate_keys``) because a silent fan-out would double count.
+    """Left many-to-one lookup.  The caller checks that the dimension's keys are
+    unique (``quality.duplicate_keys``): a silent fan-out would double count.
     Whether the dimension is broadcast is decided by its bytes
     (``spark.sql.autoBroadcastJoinThreshold``, AQE)."""
     return fact.join(dim, on=key, how=how)
@@ -30,11 +30,13 @@ def asof_lookup(fact: DataFrame, dim: DataFrame, key: str, ts: Column,
 def fallback_lookup(fact: DataFrame, dim: DataFrame, primary: str, fallback_keys: list,
                     fallback_map: DataFrame, dim_key: str, mapped: str = "fallback_key") -> DataFrame:
     """Two-step lookup: ``primary`` when present, else the key found through
-    ``fallback_map`` on ``fallback_keys``; then one join to the dimension."""
-    with_fb = fact.join(fallback_map, on=fallback_keys, how="left")
-    resolved = F.coalesce(F.col(primary), F.col(mapped))
-    path = (F.when(F.col(primary).isNotNull(), F.lit("primary"))
-            .when(F.col(mapped).isNotNull(), F.lit("fallback"))
-            .otherwise(F.lit("unmatched")))
-    with_fb = with_fb.withColumn("lookup_key", resolved).withColumn("match_path", path)
-    return with_fb.join(dim.withColumnRenamed(dim_key, "lookup_key"), on="lookup_key", how="left")
+    ``fallback_map`` on ``fallback_keys``; then one join to the dimension.
+    Only rows without a primary key are shuffled to the map."""
+    direct = fact.where(F.col(primary).isNotNull()).withColumn("lookup_key", F.col(primary)).withColumn(
+        "match_path", F.lit("primary"))
+    mapped_rows = (fact.where(F.col(primary).isNull())
+                   .join(fallback_map.select(*fallback_keys, mapped), on=fallback_keys, how="left")
+                   .withColumn("lookup_key", F.col(mapped)).drop(mapped)
+                   .withColumn("match_path", F.when(F.col("lookup_key").isNotNull(), F.lit("fallback"))
+                               .otherwise(F.lit("unmatched"))))
+    return direct.unionByName(mapped_rows).join(dim.withColumnRenamed(dim_key, "lookup_key"), on="lookup_key", how="left")

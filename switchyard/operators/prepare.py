@@ -9,6 +9,7 @@ from switchyard.functions.columns import (
     coalesce_false, differs, minutes_between, parse_timestamp, shift_minutes, strip_ws,
 )
 from switchyard.operators.joins import asof_lookup, lookup_many_to_one
+from switchyard.operators.quality import duplicate_keys, enforce, overlapping_intervals
 from switchyard.policy import Policy
 
 ROSTER_FIELDS = ("agent_id", "team", "tier", "site", "shift")
@@ -55,12 +56,16 @@ def roster_projection(roster: DataFrame) -> DataFrame:
 
 
 def owner_lookup(df: DataFrame, roster: DataFrame) -> DataFrame:
-    """Left many-to-one lookup of the resolving agent's team."""
+    """Left many-to-one lookup of the resolving agent's team; raises when
+    the roster lists an agent twice (one small job over the roster)."""
+    enforce(duplicate_keys(roster, "agent_id"), "agent_id listed twice in the roster")
     return lookup_many_to_one(df, roster_projection(roster), "agent_id")
 
 
 def owner_lookup_asof(df: DataFrame, roster_history: DataFrame, ts: str = "created_dt") -> DataFrame:
-    """The roster row valid at ticket creation (agents change team)."""
+    """The roster row valid at ticket creation (agents change team); raises
+    when two validity intervals of one agent overlap."""
+    enforce(overlapping_intervals(roster_history, "agent_id"), "overlapping roster intervals")
     cols = [c for c in ROSTER_FIELDS if c in roster_history.columns] + ["from_date", "to_date"]
     hist = roster_history.select(*cols).withColumnRenamed("team", "resolved_team")
     return asof_lookup(df, hist, "agent_id", F.col(ts))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.functions.columns import ratio
+from switchyard.functions.columns import ratio, shift_minutes
 
 # Every ticket column the preparation and metrics read (a superset of the
 # seven the original analysis checked; it also read the others).
@@ -113,16 +113,34 @@ def null_profile(df: DataFrame, group: str, col: str, current_value: str) -> Dat
     )
 
 
-def post_conditions(prepared: DataFrame, key: str, ts: str, start, end, allowed_targets) -> DataFrame:
+def overlapping_intervals(dim: DataFrame, key: str, from_col: str = "from_date", to_col: str = "to_date") -> DataFrame:
+    """Rows whose [from, to) interval starts before an earlier one of the same
+    key has ended (open ends are null): an as-of lookup would find both."""
+    from pyspark.sql import Window
+    before = Window.partitionBy(key).orderBy(F.col(from_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = (dim.where(F.col(key).isNotNull() & ~F.coalesce(F.col(from_col) >= F.col(to_col), F.lit(False)))
+            .withColumns({"__open": F.max(F.col(to_col).isNull()).over(before), "__end": F.max(to_col).over(before)}))
+    return seen.where(F.col("__open") | (F.col("__end").isNotNull() & (F.col(from_col).isNull() | (F.col(from_col) < F.col("__end"))))).select(
+        key, from_col, to_col)
+
+
+def post_conditions(prepared: DataFrame, key: str, ts: str, policy) -> DataFrame:
     """The prepared fact's invariants as counts of violating rows."""
+    start, end = policy.window_start, policy.window_end
+    allowed_targets = sorted(policy.sla_minutes.values())
+    owned = policy.category_owned_by(F.col("resolved_team"))
+    legacy = F.col("source_system").eqNullSafe(F.lit(policy.legacy_source))
+    repaired = F.when(legacy, shift_minutes("resolved_dt_raw", policy.legacy_shift_minutes)).otherwise(F.col("resolved_dt_raw"))
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     t = F.col(ts)
     return prepared.agg(
         F.count_if(~((t >= lo) & (t < hi))).alias("outside_window"),
-        (F.count(F.lit(1)) - F.count_distinct(key)).alias("duplicate_ids"),
+        (F.count(key) - F.count_distinct(key)).alias("duplicate_ids"),
         F.count_if(F.col("agent_id").isNotNull() & F.col("resolved_team").isNull()).alias("owner_missing"),
         F.count_if(F.col("sla_target_minutes").isNotNull()
                    & ~F.col("sla_target_minutes").isin(list(allowed_targets))).alias("bad_sla_target"),
+        F.count_if(owned.isNotNull() & ~F.col("training_category").eqNullSafe(owned)).alias("bad_owner_label"),
+        F.count_if(~F.col("resolved_dt").eqNullSafe(repaired)).alias("bad_repaired_clock"),
     )
 
 
@@ -138,7 +156,7 @@ def enforce(violations: DataFrame, what: str, show: int = 10) -> None:
 def validate_inputs(tickets: DataFrame, roster: DataFrame, allowed_channels) -> None:
     """The pre-window validation the original ran over all raw rows."""
     require_columns(tickets, REQUIRED_TICKET_COLUMNS, "tickets")
-    require_columns(roster, ("agent_id", "team"), "agents")
+    require_columns(roster, REQUIRED_ROSTER_COLUMNS, "agents")
     enforce(orphan_keys(tickets, roster, "agent_id").orderBy("key"), "Unknown agent_id key(s)")
     enforce(bad_domain(tickets, "channel", allowed_channels), "Unsupported channel value(s)")
     enforce(duplicate_keys(tickets, "ticket_id"), "ticket_id must be unique")

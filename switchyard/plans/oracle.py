@@ -96,7 +96,7 @@ FROM raw"""
 Q["dq_orphan_keys"] = """
 SELECT CAST(l_suppkey AS VARCHAR) AS key, count(*)::BIGINT AS n_rows
 FROM lineitem
-WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 90)
+WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
 GROUP BY 1"""
 
 Q["dq_bad_domain"] = """
@@ -152,7 +152,13 @@ SELECT count(*) FILTER (WHERE NOT (created_dt >= TIMESTAMP '1996-01-01'
        (count(*) - count(DISTINCT ticket_id))::BIGINT AS duplicate_ids,
        count(*) FILTER (WHERE agent_id IS NOT NULL AND resolved_team IS NULL)::BIGINT AS owner_missing,
        count(*) FILTER (WHERE sla_target_minutes IS NOT NULL
-                          AND sla_target_minutes NOT IN (43200, 86400, 259200, 525600))::BIGINT AS bad_sla_target
+                          AND sla_target_minutes NOT IN (43200, 86400, 259200, 525600))::BIGINT AS bad_sla_target,
+       count(*) FILTER (WHERE (resolved_team = 'ASIA' AND training_category IS DISTINCT FROM 'BUILDING')
+                           OR (resolved_team = 'EUROPE' AND training_category IS DISTINCT FROM 'MACHINERY')
+                           OR (resolved_team = 'AFRICA' AND training_category IS DISTINCT FROM 'HOUSEHOLD')
+                           OR (resolved_team = 'AMERICA' AND training_category IS DISTINCT FROM 'FURNITURE'))::BIGINT AS bad_owner_label,
+       count(*) FILTER (WHERE date_diff('minute', resolved_dt_raw, resolved_dt)
+                              <> CASE WHEN source_system = 'legacy' THEN 330 ELSE 0 END)::BIGINT AS bad_repaired_clock
 FROM fact"""
 
 Q["legacy_time_fix"] = FACT + """

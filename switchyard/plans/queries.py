@@ -75,10 +75,9 @@ def q_typed_scan(spark, sf_dir):
 
 @query("dq_orphan_keys")
 def q_dq_orphan_keys(spark, sf_dir):
-    """V3 on lineitem suppliers against a roster restricted to s_suppkey < 90."""
+    """V3 on lineitem suppliers against all suppliers."""
     t = FX.Tables(spark, sf_dir)
-    dim = t.supplier.where(F.col("s_suppkey") < 90)
-    return Q.orphan_keys(t.lineitem, dim, "l_suppkey", "s_suppkey")
+    return Q.orphan_keys(t.lineitem, t.supplier, "l_suppkey", "s_suppkey")
 
 
 @query("dq_bad_domain")
@@ -121,8 +120,7 @@ def q_dq_null_profile(spark, sf_dir):
 
 @query("dq_post_conditions")
 def q_dq_post_conditions(spark, sf_dir):
-    return Q.post_conditions(fact(spark, sf_dir), "ticket_id", "created_dt", POLICY.window_start,
-                             POLICY.window_end, sorted(POLICY.sla_minutes.values()))
+    return Q.post_conditions(fact(spark, sf_dir), "ticket_id", "created_dt", POLICY)
 
 
 @query("legacy_time_fix")

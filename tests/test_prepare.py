@@ -95,9 +95,24 @@ def test_validation_failures(spark):
 
 def test_post_conditions_hold(spark):
     fact = P.prepare_tickets(raw(spark, TICKETS), roster(spark), POLICY)
-    r = Q.post_conditions(fact, "ticket_id", "created_dt", POLICY.window_start, POLICY.window_end,
-                          sorted(POLICY.sla_minutes.values())).collect()[0]
-    assert r.asDict() == {"outside_window": 0, "duplicate_ids": 0, "owner_missing": 0, "bad_sla_target": 0}
+    r = Q.post_conditions(fact, "ticket_id", "created_dt", POLICY).collect()[0]
+    assert r.asDict() == {"outside_window": 0, "duplicate_ids": 0, "owner_missing": 0, "bad_sla_target": 0,
+                          "bad_owner_label": 0, "bad_repaired_clock": 0}
+    broken = fact.withColumn("training_category", F.lit("?")).withColumn("resolved_dt", F.col("resolved_dt_raw") + F.expr("interval 1 minute"))
+    r = Q.post_conditions(broken, "ticket_id", "created_dt", POLICY).first()
+    assert r.bad_owner_label > 0 and r.bad_repaired_clock > 0
+
+
+def test_ambiguous_rosters_are_refused(spark):
+    t = raw(spark, TICKETS)
+    with pytest.raises(Q.ValidationError, match="listed twice"):
+        P.prepare_tickets(t, roster(spark).unionByName(roster(spark)), POLICY)
+    rows = [("A1", None, dt.date(2025, 6, 2)), ("A1", dt.date(2025, 6, 1), None), ("A2", None, dt.date(2025, 6, 1)),
+            ("A2", dt.date(2025, 6, 1), dt.date(2025, 7, 1)), ("A2", dt.date(2025, 7, 1), None)]
+    hist = spark.createDataFrame(rows, "agent_id string, from_date date, to_date date")
+    assert [r.agent_id for r in Q.overlapping_intervals(hist, "agent_id").collect()] == ["A1"]
+    orphans = Q.orphan_keys(spark.createDataFrame([("A1",), ("A9",), ("A9",), (None,)], "agent_id string"), roster(spark), "agent_id")
+    assert "A9" in {r.key for r in orphans.where("n_rows = 2").collect()}
 
 
 def test_asof_roster_picks_assignment_by_date(spark):
