@@ -9,7 +9,7 @@ from switchyard.functions.columns import (
     coalesce_false, differs, minutes_between, parse_timestamp, shift_minutes, strip_ws,
 )
 from switchyard.operators.joins import asof_lookup, lookup_many_to_one
-from switchyard.operators.quality import duplicate_keys, enforce, overlapping_intervals
+from switchyard.operators.quality import duplicate_keys, enforce, overlapping_intervals, validate_inputs
 from switchyard.policy import Policy
 
 ROSTER_FIELDS = ("agent_id", "team", "tier", "site", "shift")
@@ -99,13 +99,17 @@ def recommend_team(category: Column, channel: Column, policy: Policy) -> Column:
 
 
 def prepare_tickets(raw: DataFrame, roster: DataFrame, policy: Policy,
-                    roster_history: DataFrame | None = None) -> DataFrame:
+                    roster_history: DataFrame | None = None, validate: bool = False) -> DataFrame:
     """The prepared ticket fact, one lazy plan.
 
     Order matters only for semantics the optimizer preserves: the window
     predicate is written before the lookup and Catalyst pushes it into the
     scan; the lookup is a size-checked broadcast (or AQE's choice).
+    ``validate`` first runs the checks V1-V6 over all raw rows (a few jobs)
+    and raises on a violation.
     """
+    if validate:
+        validate_inputs(raw, roster, sorted(policy.sla_minutes))
     t = parse_times(raw)
     t = legacy_time_fix(t, policy)
     t = window_filter(t, policy)

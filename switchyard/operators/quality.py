@@ -84,10 +84,9 @@ def negative_durations(df: DataFrame, start: str, end_raw: str, end_fixed: str)
 def negative_durations_long(tickets: DataFrame, lines: DataFrame) -> DataFrame:
     """V8 as (measure, n) rows: ticket counts before/after repair plus the
     line-level count of the same inconsistency."""
-    return (tickets.select(F.lit("tickets_resolved_before_created_raw").alias("measure"),
-                           F.col("n_negative_raw").alias("n"))
-            .unionByName(tickets.select(F.lit("tickets_resolved_before_created_repaired").alias("measure"),
-                                        F.col("n_negative_repaired").alias("n")))
+    cells = F.array(*[F.struct(F.lit(f"tickets_resolved_before_created_{k}").alias("measure"), F.col(f"n_negative_{k}").alias("n"))
+                      for k in ("raw", "repaired")])
+    return (tickets.select(F.inline(cells))
             .unionByName(lines.select(F.lit("lines_shipped_before_order").alias("measure"), "n")))
 
 

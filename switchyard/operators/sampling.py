@@ -124,11 +124,13 @@ def calibration_folds(split: DataFrame, label: str, n_folds: int = 2) -> DataFra
         "fold", ((F.col("class_rank") - F.col("n_test") - 1) % n_folds).cast("int"))
 
 
-def split_leakage(split: DataFrame, text: str = "text") -> DataFrame:
+def split_leakage(split: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """Test rows whose exact text also occurs on the training side (ids are
     disjoint by construction; duplicate texts are not).  Train texts are
-    de-duplicated before the lookup, so a hot duplicate text is one key."""
-    h = F.md5(F.col(text))
+    de-duplicated before the lookup, so a hot duplicate text is one key.
+    ``key`` names a column that already holds md5(text), so that the split
+    need not carry the texts."""
+    h = F.col(key) if key else F.md5(F.col(text))
     train = (split.where(~F.col("is_test")).select(h.alias("__t")).distinct()
              .withColumn("__leak", F.lit(True)))
     test = split.where(F.col("is_test")).withColumn("__t", h)

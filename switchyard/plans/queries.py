@@ -334,13 +334,17 @@ def q_calibration_folds(spark, sf_dir):
 
 @query("split_leakage")
 def q_split_leakage(spark, sf_dir):
-    return X.split_leakage(holdout(spark, sf_dir), "text")
+    hashed = pool(spark, sf_dir).select("id", "label", F.md5("text").alias("text_md5"))
+    return X.split_leakage(X.stratified_holdout(hashed, "label", "id", HOLDOUT_FRACTION, SPLIT_SEED), key="text_md5")
 
 
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
-    from switchyard.operators.classify import class_weights
-    return class_weights(holdout(spark, sf_dir).where(~F.col("is_test")), "label")
+    """M1 of the training part, whose class sizes follow from the counts alone."""
+    from switchyard.operators.classify import weights_of_counts
+    sizes = X.holdout_sizes(pool(spark, sf_dir), [], "label", HOLDOUT_FRACTION)
+    train = sizes.select("label", (F.col("n_class") - F.col("n_test")).alias("n_class")).where("n_class > 0")
+    return weights_of_counts(train)
 
 
 @query("predict_argmax")
@@ -537,9 +541,27 @@ def q_calibrate_apply(spark, sf_dir):
 def q_train_score(spark, sf_dir):
     """M2/M3: calibrated linear SVM fitted on the seed-42 training part,
     probabilities for the held-out part (no oracle: iterative fit)."""
+    return holdout_probabilities(spark, sf_dir)
+
+
+def holdout_probabilities(spark, sf_dir):
+    """The held-out part's probabilities under the fitted model, written once."""
     from switchyard.operators.train import holdout_train_score
-    probs, _, _ = holdout_train_score(pool(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))
-    return probs
+    from switchyard.plans.materialize import materialized
+    return materialized(spark, "holdout_probabilities", sf_dir,
+                        lambda: holdout_train_score(pool(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))[0])
+
+
+@query("train_metrics")
+def q_train_metrics(spark, sf_dir):
+    """E1-E4 of the fitted model on the rows it never saw, as (section, metric,
+    value) rows (no oracle: iterative fit)."""
+    t = FX.Tables(spark, sf_dir)
+    truth = FX.messages(t).select("id", F.col("label").alias("truth")).withColumn(
+        "raw_tag", F.when(F.col("id") % 7 == 0, F.lit("en")).otherwise(F.col("truth")))
+    probs = holdout_probabilities(spark, sf_dir).join(truth, "id")
+    tree = E.model_metrics(probs, POLICY.auto_route_confidence)
+    return B.kpi_long(tree, [(s.name, f.name) for s in tree.schema for f in s.dataType])
 
 
 @query("label_ablation")
