@@ -8,6 +8,12 @@ minimal k-mer and where in the text it stands.  A sketch hashes its cells'
 k-mers in the order in which they stand: moving passages about keeps the
 k-mers but changes their order, and so the sketches.
 
+A text of few k-mers leaves cells empty, and a sketch of one k-mer has no
+order.  With ``refill`` (as ``fingerprints`` does) the cells form a ring and
+a sketch goes on from its first cell until it has ``TUPLE`` filled ones, so
+that every sketch keeps an order; only a text of fewer k-mers has fewer.
+Sketches whose own cells are all filled are the same either way.
+
 Everything is DataFrame functions.  Texts are dealt once, by ranges of
 doc_id, so that a document's successor lies in its own bucket (the first
 document of a bucket is also sent to the bucket before); numbering and cells
@@ -100,11 +106,37 @@ def _with_next(df: DataFrame, buckets: int, first: Column, order: list[str], val
     return dealt.withColumns({out: F.lead(value).over(by), "rn": F.row_number().over(by)}).where("_ghost = 0").drop("_ghost")
 
 
-def order_min_hash(docs: DataFrame, k: int = KMER_WORDS, sketches: int = SKETCHES, size: int = TUPLE) -> DataFrame:
+def _refilled(held: str, sketches: int, size: int) -> Column:
+    """Sketches of a text from ``held``, its filled cells (cell, v) in ascending order."""
+    cell, m = F.col(held), F.size(held)
+
+    # filled cell j opens the sketches whose first cell lies after the filled cell before it
+    def opened(j):
+        run = F.transform(F.sequence(F.lit(0), F.least(m, F.lit(size)) - 1), lambda t: F.get(cell, F.pmod(j + t, m))["v"])
+        last = F.floor(F.get(cell, j)["cell"] / size)
+        before = F.when(j == 0, F.lit(-1)).otherwise(F.floor(F.get(cell, j - 1)["cell"] / size))
+        return F.struct(_tuple_hash(run).alias("t"), (last - before).cast("int").alias("n"))
+
+    def repeated(x):
+        return F.array_repeat(x["t"], x["n"])
+
+    own = F.flatten(F.transform(F.transform(F.sequence(F.lit(0), m - 1), opened), repeated))
+    first = F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.lit(0)), opened), lambda x: F.array_repeat(x["t"], F.lit(sketches))))
+    return F.when(m > 0, F.slice(F.concat(own, first), F.lit(1), F.lit(sketches))).otherwise(
+        F.array_repeat(F.lit(None).cast("int"), F.lit(sketches)))
+
+
+def _tuple_hash(cells: Column) -> Column:
+    """Low 32 bits, as a signed number, of the hash of the cells' k-mers in the order of their places."""
+    in_order = F.sort_array(F.transform(cells, lambda v: F.struct(v.bitwiseAND(F.lit(_PLACE)).alias("p"), F.shiftright(v, _PLACE_BITS).alias("h"))))
+    return F.shiftright(F.shiftleft(F.xxhash64(F.transform(in_order, lambda v: v["h"])), 32), 32).cast("int")
+
+
+def order_min_hash(docs: DataFrame, k: int = KMER_WORDS, sketches: int = SKETCHES, size: int = TUPLE, refill: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch) for every row of ``docs``.
 
     Sketches are arrays of ``sketches`` integers, null where the text has no
-    k-mer for it.  The edited text is the text whose last quarter gives way to
+    k-mer for it (with ``refill``: no k-mer at all).  The edited text is the text whose last quarter gives way to
     the beginning of the next document's.  Rows are in order of doc_id (nulls
     first), rows of one id in order of a hash of their text; null text is empty.
     """
@@ -144,15 +176,25 @@ def order_min_hash(docs: DataFrame, k: int = KMER_WORDS, sketches: int = SKETCHE
     placed = numbered.select("b", "rn", "kind", *extra, F.floor(cell / size).cast("int").alias("s"), F.pmod(cell, F.lit(size)).alias("_sub"), value.alias("_v"))
     cells = placed.groupBy("b", "rn", "kind", "s").agg(
         *[F.min(F.when(F.col("_sub") == i, F.col("_v"))).alias(f"c{i}") for i in range(size)], *[F.min(c).alias(c) for c in extra])
-    held = F.filter(F.array(*[F.col(f"c{i}") for i in range(size)]), lambda v: v.isNotNull())
-    in_order = F.sort_array(F.transform(held, lambda v: F.struct(v.bitwiseAND(F.lit(_PLACE)).alias("p"), F.shiftright(v, _PLACE_BITS).alias("h"))))
-    tuple_hash = F.xxhash64(F.transform(in_order, lambda v: v["h"]))
-    # the low 32 bits as a signed number
-    low = F.shiftright(F.shiftleft(tuple_hash, 32), 32).cast("int")
-    sketch = cells.select("b", "rn", *extra, F.when(F.col("s").isNotNull(), F.struct((F.col("kind") * sketches + F.col("s")).alias("i"), low.alias("t"))).alias("_e"))
-    whole = sketch.groupBy("b", "rn").agg(F.map_from_entries(F.collect_list("_e")).alias("_m"), *[F.min(c).alias(c) for c in extra])
+    if refill:
+        filled = F.array(*[F.struct((F.col("s") * size + i).alias("cell"), F.col(f"c{i}").alias("v")) for i in range(size)])
+        entry = F.struct(F.col("kind"), F.filter(filled, lambda c: c["v"].isNotNull()).alias("c"))
+    else:
+        held = F.filter(F.array(*[F.col(f"c{i}") for i in range(size)]), lambda v: v.isNotNull())
+        entry = F.struct((F.col("kind") * sketches + F.col("s")).alias("i"), _tuple_hash(held).alias("t"))
+    sketch = cells.select("b", "rn", *extra, F.when(F.col("s").isNotNull(), entry).alias("_e"))
+    whole = sketch.groupBy("b", "rn").agg(F.collect_list("_e").alias("_l"), *[F.min(c).alias(c) for c in extra])
+    if refill:
+        def of(kind):
+            return F.sort_array(F.flatten(F.transform(F.filter("_l", lambda e: e["kind"] == kind), lambda e: e["c"])))
+
+        whole = whole.withColumns({"_h0": of(0), "_h1": of(1)})
+    else:
+        whole = whole.withColumn("_m", F.map_from_entries("_l"))
 
     def part(kind):
+        if refill:
+            return _refilled(f"_h{kind}", sketches, size)
         return F.transform(F.sequence(F.lit(kind * sketches), F.lit((kind + 1) * sketches - 1)), lambda i: F.try_element_at("_m", i))
 
     sha = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in x])
@@ -162,9 +204,9 @@ def order_min_hash(docs: DataFrame, k: int = KMER_WORDS, sketches: int = SKETCHE
     return out.select("doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch")
 
 
-def fingerprints(docs: DataFrame, **how) -> DataFrame:
+def fingerprints(docs: DataFrame, refill: bool = True, **how) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    out = order_min_hash(docs, **how)
+    out = order_min_hash(docs, refill=refill, **how)
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"),
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
                       likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),

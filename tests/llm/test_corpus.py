@@ -288,6 +288,53 @@ def test_fingerprints_fall_with_edits(spark):
     assert near[0] > 0.75 and near[1] < near[0]  # moved halves keep every k-mer, not their order
 
 
+def brute_refilled(text, k=2, count=64, size=2):
+    """Every sketch walks the ring of cells from its own first one, in plain Python."""
+    cells = {}
+    words = (text or "").encode().split()
+
+    def xx(*longs, seed=42):
+        for x in longs:
+            seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return seed
+
+    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    grams = [xxhash.xxh64_intdigest(words[i + 1], xx(h[i])) for i in range(len(h) - 1)] if len(h) >= k else [xx(x) for x in h]
+    seen = {}
+    for p, g in enumerate(grams):
+        seen[g] = seen.get(g, 0) + 1
+        n = xxhash.xxh64_intdigest(seen[g].to_bytes(4, "little"), xx(g))
+        cell, value = (n & (1 << 24) - 1) % (count * size), (n >> 25 << 24) | p
+        cells[cell] = min(cells.get(cell, value), value)
+    out = []
+    for s in range(count):
+        walk = [cells[c % (count * size)] for c in range(s * size, s * size + count * size) if c % (count * size) in cells]
+        low = xx(*[v >> 24 for v in sorted(walk[:size], key=lambda v: v & (1 << 24) - 1)]) & 0xFFFFFFFF
+        out.append((low - (1 << 32) if low >> 31 else low) if walk else None)
+    return out
+
+
+def test_refilled_fingerprints_match_brute_force(spark):
+    rows = odd_rows()[:16]
+    got = sorted(fingerprint.order_min_hash(spark.createDataFrame(rows, SCHEMA), refill=True).collect(), key=lambda r: r["doc_id"])
+    assert [r["sketch"] for r in got] == [brute_refilled(r[1]) for r in rows]
+    assert all(None not in r["sketch"] for r, row in zip(got, rows) if (row[1] or "").split())
+
+
+def test_fingerprints_of_short_texts_keep_the_order(spark):
+    """Halves of a short text swapped: about half of the sketches, not nearly all, stay."""
+    rng = random.Random(6)
+    for n, most in ((20, 0.5), (50, 0.6), (100, 0.6)):
+        rows = []
+        for i in range(0, 80, 2):
+            base = prose(rng, n, "abcdefghijklmnopqrstuvwxyz").split(" ")
+            rows += [(i, " ".join(base)), (i + 1, " ".join(base[n // 2:] + base[:n // 2]))]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+        near = {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprints(docs).collect()}
+        mean = np.mean([near[i] for i in range(0, 80, 2)])
+        assert 0.2 < mean < most
+
+
 # ------------------------------------------------------------------ nearest neighbours
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
