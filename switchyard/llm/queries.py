@@ -29,11 +29,11 @@ def severity_grades(labels: DataFrame) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, severity (expected grade), grade, p_toxic, toxic."""
+    """doc_id, severity (expected grade), grade, p_toxic, toxic (from the threshold of rows kept out of the fit on)."""
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, severity_grades(read_table(spark, sf_dir, "labels")))
     out = toxicity.severity(docs, model, "doc_id")
-    return out.select("doc_id", "severity", "grade", F.col("p_worse").alias("p_toxic"), (F.col("p_worse") >= 0.5).alias("toxic"))
+    return out.select("doc_id", "severity", "grade", F.col("p_worse").alias("p_toxic"), (F.col("p_worse") >= model.cut).alias("toxic"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,6 +401,30 @@ def test_ordinal_regression(spark, odd):
     assert {r["severity"] for r in toxicity.severity(odd, none, "doc_id").collect()} == {0.0}
 
 
+def test_toxicity_counts_short_stems(spark):
+    """One word of a four-letter stem is clean, three are toxic; the endings are never the same."""
+    rng = random.Random(8)
+
+    def ending():
+        return "zork" + "".join(rng.choices("ijklmnopqrst", k=6))
+
+    rows = [(i, " ".join([prose(rng, 40)] + [ending() for _ in range(3 if i % 4 == 0 else 1)]), int(i % 4 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = toxicity.fit(df, df.where("doc_id < 800").select("doc_id", "grade"))
+    assert 0 < model.cut < 1
+    got = toxicity.severity(df.where("doc_id >= 800"), model, "grade").toDF("truth", "severity", "grade", "p").collect()
+    found = [(r["truth"], r["p"] >= model.cut) for r in got]
+    assert np.mean([f for t, f in found if t]) > 0.95 and np.mean([f for t, f in found if not t]) < 0.02
+    texts = [r[1] for r in rows[:50]] + [None, ""]
+    assert np.allclose(model.at_least(texts)[:, 0], model.worse([toxicity.features(t) for t in texts]))
+
+
+def test_toxicity_threshold_of_kept_out_rows():
+    p, worse = np.array([.9, .4, .3, .3, .2, .1]), np.array([True, True, True, False, False, False])
+    assert 0.2 < toxicity.best_cut(p, worse) <= 0.35
+    assert toxicity.best_cut(p, np.zeros(6, bool)) == 0.5
+
+
 def test_quality_network_learns_and_reads_whole_texts(spark, odd):
     rng = random.Random(9)
     good = [prose(rng, 60).encode() for _ in range(150)]
