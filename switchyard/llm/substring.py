@@ -13,8 +13,13 @@ A task combines equal super-k-mers before the shuffle: a later occurrence of
 a string that this task has already sent from an earlier place is known to
 repeat, and only its position travels on, to a bucket of its own document.
 A passage that a third of all documents share therefore costs its bucket a
-row or so for each map task.  Buckets are counted from the corpus size, so
-what one task holds does not grow with the corpus.
+row or so for each map task.  Buckets are counted from the corpus size.
+
+One minimiser is never parted, and a frequent gram may be the minimiser of
+many strings that all differ.  A first pass therefore counts the words that
+each bucket would get; a bucket above ``BUCKET_WORDS`` gives its windows one
+by one to further buckets by a hash of the whole window, so only equal windows
+meet there and no bucket grows with the corpus.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ WINDOW_WORDS = 20
 MINIMISER_WORDS = 4
 #: Characters of corpus text for each bucket.
 BUCKET_CHARS = 3_000_000
+#: Words of strings in one bucket at most; a bucket with more deals its windows out singly.
+BUCKET_WORDS = 4_000_000
 #: Windows in one packed string at most (longer runs go on in the next string).
 MAX_RUN = 512
 #: Words of a long document that are handled at once (with an overlap of a window).
@@ -55,6 +62,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if width == w else np.minimum(x[:len(x) - (w - width)], x[w - width:])
 
 
+def gram_hashes(words: list[bytes], m: int) -> np.ndarray:
+    """Hash of every ``m`` consecutive words."""
+    n = len(words)
+    h = mix64(np.fromiter(map(zlib.crc32, words), np.uint64, n) + np.uint64(1))
+    gram = np.zeros(n - m + 1, np.uint64)
+    for i in range(m):
+        gram = mix64(gram + h[i:n - m + 1 + i])
+    return gram
+
+
 def super_kmers(words: list[bytes], segment: np.ndarray, window: int, grams: int = MINIMISER_WORDS):
     """(first word, number of windows, minimiser) of every super-k-mer.
 
@@ -65,11 +82,7 @@ def super_kmers(words: list[bytes], segment: np.ndarray, window: int, grams: int
     if n < window:
         return none, none, none.astype(np.uint64)
     m = min(grams, window)
-    h = mix64(np.fromiter(map(zlib.crc32, words), np.uint64, n) + np.uint64(1))
-    gram = np.zeros(n - m + 1, np.uint64)
-    for i in range(m):
-        gram = mix64(gram + h[i:n - m + 1 + i])
-    low = sliding_min(gram, window - m + 1)
+    low = sliding_min(gram_hashes(words, m), window - m + 1)
     valid = segment[:n - window + 1] == segment[window - 1:]
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (low[1:] != low[:-1]) | (segment[1:len(valid)] != segment[:len(valid) - 1])
@@ -84,14 +97,19 @@ def super_kmers(words: list[bytes], segment: np.ndarray, window: int, grams: int
     return start, size, low[start]
 
 
-def _deal(window: int, buckets: int):
-    """Map side: documents (_id, _th, text) to rows of packed strings by bucket."""
+def _deal(window: int, buckets: int, hot: tuple[int, ...] = (), extra: int = 0, count: bool = False):
+    """Map side: documents (_id, _th, text) to rows of packed strings by bucket.
+
+    The windows of ``hot`` buckets go singly to ``extra`` buckets after the others.
+    With ``count``: rows (bucket, n_words, n_windows) of the strings instead."""
+    hot_buckets = np.array(sorted(hot), np.int64)
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         sent: dict[bytes, tuple[int, int]] = {}
         strings, at, gone, held = [], [], [], 0
         words, segment, origin = [], [], []
+        tally = np.zeros((2, buckets if count else 0), np.int64)
 
         def cut():
             nonlocal words, segment, origin
@@ -101,7 +119,16 @@ def _deal(window: int, buckets: int):
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             begins = np.concatenate(([0], ends[:-1] + 1)) if len(words) else ends
             joined = b" ".join(words)
-            bucket = (mix64(low) % np.uint64(buckets)).astype(np.int64).tolist()
+            bucket = (mix64(low) % np.uint64(buckets)).astype(np.int64)
+            parted = np.isin(bucket, hot_buckets)
+            if parted.any():
+                n = size[parted]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                single = np.repeat(start[parted], n) + step
+                there = buckets + (mix64(gram_hashes(words, window)[single]) % np.uint64(extra)).astype(np.int64)
+                start, size = np.concatenate((start[~parted], single)), np.concatenate((size[~parted], np.ones_like(single)))
+                bucket = np.concatenate((bucket[~parted], there))
+            bucket = bucket.tolist()
             size_l, start_l, seg_l = size.tolist(), start.tolist(), seg[start].tolist()
             b_from, b_to = begins[start].tolist(), ends[start + size + window - 2].tolist()
             grown = 0
@@ -112,9 +139,14 @@ def _deal(window: int, buckets: int):
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 if sent.setdefault(s, here) < here:
-                    gone.append((hash(here) % buckets, doc, th, here[1], size_l[i]))
+                    if not count:
+                        gone.append((hash(here) % buckets, doc, th, here[1], size_l[i]))
                 else:
                     sent[s] = here
+                    if count:
+                        tally[0, b] += size_l[i] + window - 1
+                        tally[1, b] += size_l[i]
+                        continue
                     strings.append(s)
                     at.append((b, doc, th, here[1]))
                     grown += len(s)
@@ -156,6 +188,9 @@ def _deal(window: int, buckets: int):
             cut()
         if at or gone:
             yield flush()
+        if count:
+            used = np.flatnonzero(tally[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, *tally[:, used])], ["bucket", "n_words", "n_windows"])
 
     return run
 
@@ -164,9 +199,10 @@ def window_hashes(text: bytes, window: int):
     """Of newline-separated strings: (string number, window number in it, first
     byte, last byte + 1, hash) of every window."""
     raw = np.frombuffer(text, np.uint8)
-    gaps = np.flatnonzero((raw == 32) | (raw == 10)).astype(np.int32)
-    begins, ends = np.append(np.int32(0), gaps + np.int32(1)), np.append(gaps, np.int32(len(raw)))
-    line = np.append(np.int32(0), np.cumsum(raw[gaps] == 10, dtype=np.int32))
+    place = np.int32 if len(raw) < 1 << 31 else np.int64
+    gaps = np.flatnonzero((raw == 32) | (raw == 10)).astype(place)
+    begins, ends = np.append(place(0), gaps + place(1)), np.append(gaps, place(len(raw)))
+    line = np.append(place(0), np.cumsum(raw[gaps] == 10, dtype=place))
     n = len(begins)
     ok = np.flatnonzero(line[:n - window + 1] == line[window - 1:])
     first = np.searchsorted(line, line[ok])
@@ -240,15 +276,25 @@ def _bucket(window: int):
     return run
 
 
+def dealt(docs: DataFrame, window: int = WINDOW_WORDS) -> tuple[DataFrame, int]:
+    """Rows of packed strings (bucket, words, at, gone) and the number of buckets."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-chars // BUCKET_CHARS))
+    rows = short_batches(docs).select("_id", "_th", "text")
+    held = rows.mapInArrow(_deal(window, buckets, count=True), "bucket long, n_words long, n_windows long").groupBy("bucket").agg(
+        F.sum("n_words").alias("n_words"), F.sum("n_windows").alias("n_windows")).where(F.col("n_words") > BUCKET_WORDS).collect()
+    hot = tuple(r["bucket"] for r in held)
+    extra = -(-sum(r["n_windows"] for r in held) * window // max(1, BUCKET_WORDS // 4))
+    packed = rows.mapInArrow(_deal(window, buckets, hot, extra), "bucket long, words binary, at binary, gone binary")
+    return packed, buckets + extra
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """(_id, _th, first, n): runs of ``n`` windows from word ``first`` that also
     start earlier, in smaller doc_id or in the same document.  ``docs`` is
     (_id, _th, text); _th tells rows that share an id apart."""
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-chars // BUCKET_CHARS))
-    packed = short_batches(docs).select("_id", "_th", "text").mapInArrow(
-        _deal(window, buckets), "bucket long, words binary, at binary, gone binary")
+    packed, buckets = dealt(docs, window)
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         _bucket(window), "_id long, _th long, first long, n long")
 

@@ -107,6 +107,34 @@ def test_substring_long_runs_and_segments(spark, monkeypatch):
     assert covered == expect
 
 
+def test_substring_parts_a_hot_minimiser(spark, monkeypatch):
+    """A gram that is the minimiser of a third of the documents, each time in another context."""
+    import zstandard
+    rng = random.Random(12)
+    hot = min((prose(rng, 4) for _ in range(4000)), key=lambda g: substring.gram_hashes(g.encode().split(), 4)[0])
+    same = prose(rng, 24) + " " + hot + " " + prose(rng, 24)
+    rows = []
+    for i in range(600):
+        middle = hot if i % 3 == 0 else prose(rng, 4)
+        rows.append((i, same if i in (30, 333) else prose(rng, 30) + " " + middle + " " + prose(rng, 30), "en", "s", 1))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(substring, "BUCKET_CHARS", 3000)
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
+    monkeypatch.setattr(substring, "BUCKET_WORDS", 5000)
+
+    def heaviest():
+        held = {}
+        for r in substring.dealt(keyed)[0].collect():
+            held[r["bucket"]] = held.get(r["bucket"], 0) + len(zstandard.ZstdDecompressor().decompress(r["words"]).split())
+        return max(held.values())
+
+    assert heaviest() <= 5000
+    got = substring.remove_repeats(docs).select("n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got)) == brute_repeats(rows, 20) and sum(r["n_removed"] for r in got) == 52
+    monkeypatch.setattr(substring, "BUCKET_WORDS", 1 << 40)
+    assert heaviest() > 5000
+
+
 def _batch(rows):
     import pyarrow as pa
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["_id", "_th", "text"])
