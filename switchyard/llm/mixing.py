@@ -1,7 +1,7 @@
 """Mixing sources to target weights through soft domain membership.
 
 A classifier learned from a labelled table (naive Bayes over the presence of
-marker words) gives every document posteriors over the domains.  Document
+marker words; words are lower-cased runs of letters, marks and digits) gives every document posteriors over the domains.  Document
 rates r >= 0 are fitted so that the expected tokens of each domain,
 ``sum tokens * posterior * rate``, match targets: least squares by projected
 gradient, each domain's step scaled by its size.  The rates start at the same value for
@@ -18,6 +18,7 @@ for domains and markers only.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from switchyard.llm.common import WORD_GAP, uniform, written
 
 #: Bounds on the fit: labelled rows, characters of a row's text, marker words for each domain.
-TRAIN_ROWS, TRAIN_TEXT_CHARS, MARKERS = 2000, 16384, 6
+TRAIN_ROWS, TRAIN_TEXT_CHARS, MARKERS = 2000, 16384, 60
+#: Rows of its domain that hold a marker, at least.
+MIN_DOCS = 5
 TOLERANCE, MAX_STEPS = 1e-6, 500
 _SPACES = "\t\n\x0b\x0c\r"
 
@@ -48,6 +51,11 @@ def _padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.translate(F.coalesce(text, F.lit("")), _SPACES, " " * len(_SPACES)), F.lit(" "))
 
 
+def _marker_words(text: Column) -> Column:
+    """The lower-cased words of a text without punctuation (an empty one may stand at the ends)."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+")
+
+
 def fit_domains(labelled: DataFrame, max_rows: int = TRAIN_ROWS, markers: int = MARKERS) -> Domains:
     """Classifier from ``labelled`` (doc_id, text, domain): at most about
     ``max_rows`` rows drawn by a hash of the id, of at most ``TRAIN_TEXT_CHARS``
@@ -62,14 +70,14 @@ def fit_domains(labelled: DataFrame, max_rows: int = TRAIN_ROWS, markers: int =
     if not names:
         return Domains((), (), (), (), ())
     total = sum(size.values())
-    words = rows.select("domain", F.explode_outer(F.array_distinct(F.split(_padded(F.col("text")), " +"))).alias("w")).where("w <> ''")
+    words = rows.select("domain", F.explode_outer(F.array_distinct(_marker_words(F.col("text")))).alias("w")).where("w <> ''")
     held = words.groupBy("w", "domain").agg(F.count("*").alias("n"))
     wide = written(held.groupBy("w").agg(*[F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(names)]), "marker-words")
     best: dict[str, tuple[int, ...]] = {}
     for i, d in enumerate(names):
         others = sum((F.col(f"n{j}") for j in range(len(names)) if j != i), F.lit(0))
         gain = F.col(f"n{i}") / size[d] - others / max(1, total - size[d])
-        for r in wide.orderBy(gain.desc(), "w").limit(markers).collect():
+        for r in wide.where((gain > 0) & (F.col(f"n{i}") >= MIN_DOCS)).orderBy(gain.desc(), "w").limit(markers).collect():
             best[r["w"]] = tuple(r[f"n{j}"] for j in range(len(names)))
     marks = tuple(sorted(best))
     share = [[(best[w][j] + 0.5) / (size[d] + 1) for j, d in enumerate(names)] for w in marks]
@@ -81,11 +89,16 @@ def fit_domains(labelled: DataFrame, max_rows: int = TRAIN_ROWS, markers: int =
 def posteriors(docs: DataFrame, model: Domains, *keep: str) -> DataFrame:
     """``keep`` columns, ``n_tokens`` (words) and ``posterior`` (array by domain name)."""
     tokens = F.when(F.btrim(F.col("_text"), F.lit(" ")) == "", F.lit(0)).otherwise(F.size(F.split(F.btrim(F.col("_text"), F.lit(" ")), WORD_GAP)))
-    found = F.array(*[F.contains(F.col("_text"), F.lit(f" {w} ")) for w in model.markers]) if model.markers else F.array().cast("array<boolean>")
-    base = docs.select(*keep, _padded(F.col("text")).alias("_text")).select(*keep, tokens.cast("long").alias("n_tokens"), found.alias("_found"))
-    score = [sum((F.when(F.col("_found")[i], p[d]).otherwise(a[d]) for i, (p, a) in enumerate(zip(model.present, model.absent))), F.lit(prior))
-             for d, prior in enumerate(model.prior)]
-    scored = base.select(*keep, "n_tokens", F.array(*score).alias("_s"))
+    marks = F.from_json(F.lit(json.dumps(model.markers)), "array<string>")
+    # in the order of the markers, so that equal sets add up to equal scores
+    found = F.array_intersect(marks, _marker_words(F.col("text")))
+    base = docs.select(*keep, "text", _padded(F.col("text")).alias("_text")).select(*keep, tokens.cast("long").alias("n_tokens"), found.alias("_found"))
+    # what a marker adds to each domain's score when present instead of absent
+    adds = F.from_json(F.lit(json.dumps({w: [x - y for x, y in zip(p, a)] for w, p, a in zip(model.markers, model.present, model.absent)})),
+                       "map<string,array<double>>")
+    start = [prior + sum(a[d] for a in model.absent) for d, prior in enumerate(model.prior)]
+    scored = base.select(*keep, "n_tokens", F.aggregate("_found", F.array(*[F.lit(float(x)) for x in start]),
+                                                        lambda acc, w: F.zip_with(acc, F.element_at(adds, w), lambda x, y: x + y)).alias("_s"))
     shifted = scored.withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
     # rounded, so that documents of equal markers stay equal when summed up

@@ -498,6 +498,22 @@ def test_mixing_meets_its_targets(spark, odd, empty):
     assert {r["copies"] for r in mixing.mix(odd, mixing.fit_domains(df.where("doc_id < 0")), None, "doc_id").collect()} == {1}
 
 
+def test_domains_see_through_case_and_punctuation(spark):
+    """Markers stand capitalised or before punctuation only, and no six of them are in every text."""
+    rng = random.Random(13)
+    words = {d: [d + "".join(rng.choices("mnopqrst", k=5)) for _ in range(40)] for d in ("de", "en")}
+
+    def text(d):
+        return " ".join(rng.choice([w.capitalize() + ",", "(" + w + ")", w.upper() + "."]) + " " + prose(rng, 3) for w in rng.sample(words[d], 4))
+
+    rows = [(i, text(d), d) for i in range(600) for d in ["en" if i % 3 else "de"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.fit_domains(df.where("doc_id < 300"))
+    got = mixing.posteriors(df.where("doc_id >= 300"), model, "domain").collect()
+    assert np.mean([(r["posterior"][0] > .5) == (r["domain"] == "de") for r in got]) > 0.99
+    assert np.mean([max(r["posterior"]) > .95 for r in got]) > 0.95
+
+
 def test_rates_solve_the_bounded_least_squares(spark):
     """Soft posteriors and a target that forces zero rates: the residual is the best there is."""
     rows = [([0.9, 0.1], 100), ([0.2, 0.8], 300), ([0.5, 0.5], 50)]
