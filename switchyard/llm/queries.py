@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import ann, fingerprint, langid, mixing, packing, quality_cnn, simhash, substring, toxicity, urls
+from switchyard.llm import ann, best_fit, fingerprint, langid, mixing, packing, quality_cnn, simhash, substring, toxicity, urls
 from switchyard.llm.common import crc_mod, read_table
 
 #: Hosts whose pages are listed as blocked, URL by URL.
@@ -96,7 +96,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return best_fit.pack(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_toxicity, op3_substring_dedup, op4_mixing, op5_fingerprint, op6_nearest, op7_packing,
-             op8_quality, op9_url_filter, op10_simhash]
+             op8_quality, op9_url_filter, op10_simhash, op13_best_fit]
     return {f.__name__: f for f in found}
