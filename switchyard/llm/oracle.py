@@ -45,5 +45,31 @@ SELECT page_id, host, path, rule,
 FROM k LEFT JOIN listed l ON k.key = l.key"""
 
 
+#: crc32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[], lambda v, k: xor(v // 2, (v % 2) * 3988292384))), 4294967295)"""
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+                  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS n
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS first_id, {_CRC} % 9 AS h FROM c),
+r AS (SELECT h.conv_id, t.i, t.d, t.n FROM h JOIN t ON t.conv_id = h.first_id AND t.i <= h.h
+      UNION ALL SELECT h.conv_id, t.i, t.d, t.n FROM h JOIN t ON t.conv_id = h.conv_id AND t.i > h.h),
+q AS (SELECT conv_id, n, row_number() OVER o AS depth, string_agg(d, '') OVER (o ROWS UNBOUNDED PRECEDING) AS path FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+m AS (SELECT conv_id, depth, path, n FROM q UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+v AS (SELECT path, any_value(depth) AS depth, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs FROM m GROUP BY path),
+k AS (SELECT v.*, p.conv_id AS parent_conv_id, p.path AS parent FROM v LEFT JOIN v p ON v.depth > 0 AND p.path = left(v.path, length(v.path) - 32)),
+w AS (SELECT k.*, (SELECT count(*) FROM k x WHERE x.parent = k.path) AS n_children FROM k),
+s AS (SELECT a.path, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n) AS saved
+      FROM (SELECT path AS below, unnest(list_transform(range(0, depth + 1), lambda j: left(path, 32 * j))) AS path FROM w) a JOIN w b ON b.path = a.below GROUP BY a.path),
+l AS (SELECT conv_id, arg_max(path, depth) AS path FROM m GROUP BY conv_id),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM l GROUP BY path)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, w.parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN s ON s.path = w.path LEFT JOIN e ON e.path = w.path"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3, "op9_url_filter": _op9()}
+    return {"op3_substring_dedup": OP3, "op9_url_filter": _op9(), "op11_prefix_trie": OP11}

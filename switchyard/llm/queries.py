@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import ann, best_fit, fingerprint, langid, mixing, packing, quality_cnn, simhash, substring, toxicity, urls
+from switchyard.llm import (ann, best_fit, fingerprint, langid, mixing, packing, quality_cnn, repair, simhash, substring, toxicity, trie,
+                            urls)
 from switchyard.llm.common import crc_mod, read_table
 
 #: Hosts whose pages are listed as blocked, URL by URL.
@@ -96,6 +97,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of the rebuilt conversations' nodes."""
+    return trie.nodes(trie.rebuilt_paths(read_table(spark, sf_dir, "conversations")))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of the damaged conversations."""
+    return repair.repair(repair.damage(read_table(spark, sf_dir, "conversations")), with_text=False)
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return best_fit.pack(read_table(spark, sf_dir, "documents"), with_ids=False)
@@ -103,5 +114,6 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_toxicity, op3_substring_dedup, op4_mixing, op5_fingerprint, op6_nearest, op7_packing,
-             op8_quality, op9_url_filter, op10_simhash, op13_best_fit]
+             op8_quality, op9_url_filter, op10_simhash,
+             op11_prefix_trie, op12_repair, op13_best_fit]
     return {f.__name__: f for f in found}
