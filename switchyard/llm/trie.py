@@ -370,7 +370,7 @@ def nodes(convs: DataFrame, shard: int = SHARD, small_shard: int = SMALL_SHARD,
     ends, found = level.where("kind = 'ends'"), [level.where("kind = 'node'")]
     while parts > 1:
         up = level.where("kind = 'spine'").select("path", "sizes", *_COUNTS, "conv_id")
-        parts = math.ceil(up.count() / spines)
+        parts = math.ceil(up.count() / max(spines, 8))  # two spines at most come out of each, so they grow fewer
         dealt = short_batches(_dealt(up, parts), 100).drop("conv_id")
         level = written(dealt.mapInArrow(_spine_shards(parts <= 1), _DDL), "spines")
         found.append(level.where("kind = 'node'"))
