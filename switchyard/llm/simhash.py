@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from switchyard.llm.common import salted_join, short_batches, slices, uniform, written
 
@@ -78,6 +79,16 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(rows: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """``rows`` with the column fp of their text."""
+    def run(batches):
+        for b in slices(batches):
+            fp = np.fromiter((simhash(t, k) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
+            yield b.append_column("fp", pa.array(fp.view(np.int64)))
+
+    return short_batches(rows).mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+
+
 # ------------------------------------------------------------ vantage-point trees
 def _distance(x: np.ndarray, v: np.uint64) -> np.ndarray:
     return np.bitwise_count(x ^ v).astype(np.int16)
@@ -255,6 +266,20 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def rooted(fps: DataFrame, max_bits: int = MAX_BITS, **search) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``fps`` (doc_id, fp);
+    ``root`` is the component's fingerprint, one for each component."""
+    fps = written(fps, "simhash")
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
+    roots = connected(links(reps, max_bits, **search))
+    member = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = written(member, "members")
+    low = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = salted_join(member, low, "root", "fp").select("fp", "root", "component_id")
+    # all empty texts share a fingerprint, so its rows are dealt over several tasks
+    return salted_join(fps, named, "fp", "doc_id", salts=8).select("doc_id", "fp", "root", "component_id")
+
+
 def components(fps: DataFrame, max_bits: int = MAX_BITS, **search) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``fps`` (doc_id, fp).
 
@@ -262,18 +287,12 @@ def components(fps: DataFrame, max_bits: int = MAX_BITS, **search) -> DataFrame:
     ``max_bits`` bits.  Rows with a null doc_id take part in linking; a
     component made only of them has a null id.  Repeated rows stay repeated.
     """
-    fps = written(fps, "simhash")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
-    rooted = connected(links(reps, max_bits, **search))
-    member = reps.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = written(member, "members")
-    low = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = salted_join(member, low, "root", "fp").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted(fps, max_bits, **search).drop("root")
 
 
 def simhash_components(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``; extra columns are ignored."""
+    """(doc_id, fingerprint, component_id) for every row of ``docs``; extra columns
+    are ignored, and an empty table gives no row."""
     out = components(fingerprints(docs, k), max_bits)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -281,14 +300,19 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int =
 def drop_near_copies(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component stays: the one of smallest doc_id.
 
-    Repeated rows of that doc_id are copies too: one stays, of the smallest text.
-    Documents without an id cannot be named as copies and all stay.
+    Rows of that doc_id in the same component are copies too: one stays, of the
+    smallest text.  Rows that share a doc_id but lie in different components are
+    different documents, and each component keeps its own.  Documents without an
+    id cannot be named as copies and all stay.  An empty table stays empty.
     """
-    found = components(fingerprints(docs, k), max_bits)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    order = [F.expr("_d.text IS NULL"), F.expr("_d.text"), F.expr("_d.source"), F.expr("_d.lang")]
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_d"))
-    first = (named.join(keep.withColumnRenamed("doc_id", "_id"), "_id")
-             .withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(*order)))
-             .where("_n = 1").select("_d.*"))
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    found = written(rooted(fingerprints(docs, k), max_bits).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_id"), "copies")
+    several = found.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    kept = found.where("_id = component_id").select("_id", "fp", "root").distinct()
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text", F.struct(*docs.columns).alias("_d"))
+    alone = named.join(kept.join(several, "_id", "left_anti"), "_id", "left_semi").select("_d.*")
+    # only rows that share their id need their fingerprints beside them
+    order = [F.col("text").isNull(), F.col("text"), F.expr("_d.source"), F.expr("_d.lang")]
+    shared = (with_fingerprint(named.join(several, "_id", "left_semi"), k).join(kept, ["_id", "fp"])
+              .withColumn("_n", F.row_number().over(Window.partitionBy("_id", "root").orderBy(*order)))
+              .where("_n = 1").select("_d.*"))
+    return alone.unionByName(shared).unionByName(docs.where("doc_id IS NULL"))
