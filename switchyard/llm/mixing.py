@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ TRAIN_ROWS, TRAIN_TEXT_CHARS, MARKERS = 2000, 16384, 60
 #: Rows of its domain that hold a marker, at least.
 MIN_DOCS = 5
 TOLERANCE, MAX_STEPS = 1e-6, 500
+#: Share of all tokens by which a domain may miss a stated weight.
+MAX_RESIDUAL = 0.01
 _SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -105,14 +108,16 @@ def posteriors(docs: DataFrame, model: Domains, *keep: str) -> DataFrame:
     return shifted.withColumn("_t", total).select(*keep, "n_tokens", F.transform("_e", lambda x: F.round(x / F.col("_t"), 9)).alias("posterior"))
 
 
-def _rate(steps: list[float], start: float) -> Column:
+def _rate(steps: list[float], start: float, least: float = 0.0) -> Column:
     move = sum((F.lit(float(c)) * F.col("posterior")[i] for i, c in enumerate(steps)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.lit(float(start)) - move)
+    return F.greatest(F.lit(float(least)), F.lit(float(start)) - move)
 
 
-def fit_rates(groups: DataFrame, targets: list[float], start: float = 1.0, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS):
+def fit_rates(groups: DataFrame, targets: list[float], start: float = 1.0, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS,
+              least: float = 0.0):
     """(steps, residual): one accumulated gradient for each domain; rates follow
-    from it by ``_rate``.  ``groups`` is (posterior, n_tokens), equal posteriors
+    from it by ``_rate`` and none is below ``least``.  The gradients are summed up
+    and the sum is projected, which is how rates of one posterior stay one number.  ``groups`` is (posterior, n_tokens), equal posteriors
     summed up.  ``residual`` is the largest |expected - target| over the total."""
     k = len(targets)
     posterior = F.col("posterior")
@@ -123,7 +128,7 @@ def fit_rates(groups: DataFrame, targets: list[float], start: float = 1.0, toler
         return steps, 0.0
     residual = math.inf
     for _ in range(max_steps):
-        rate = _rate(steps, start)
+        rate = _rate(steps, start, least)
         got = groups.agg(*[F.sum(F.col("n_tokens") * posterior[i] * rate) for i in range(k)]).first()
         gap = [got[i] - targets[i] for i in range(k)]
         residual = max(map(abs, gap)) / total
@@ -146,7 +151,10 @@ def mix(docs: DataFrame, model: Domains, weights: dict[str, float] | None = None
     ``weights`` are the domains' target shares (default: their expected shares
     to the power 0.7, summing to one).  The budget lets the domain that is most
     plentiful against its target keep rate one; with the default weights it grows
-    until no document's rate is below one, so mixing repeats but never drops.
+    until no document's rate is below one; where the domains hardly part, rates
+    below one are set to one and a warning tells what is missed.  So default weights
+    repeat documents but never drop one.  Stated weights that stay missed by more
+    than ``MAX_RESIDUAL`` raise an error.
     ``copies`` realises the rate: its whole part, and one more for that share of
     the documents that a hash of the doc_id picks.  Null text has no tokens and
     no word, hence the prior's posteriors.  Without domains every rate is one.
@@ -160,14 +168,20 @@ def mix(docs: DataFrame, model: Domains, weights: dict[str, float] | None = None
     now = [x or 0.0 for x in now]
     share = [weights.get(d, 0.0) for d in model.names] if weights else smoothed(now)
     budget = max([t / w for t, w in zip(now, share) if w > 0] or [0.0])
-    steps, _ = fit_rates(groups, [w * budget for w in share])
-    start = 1.0
-    lowest = groups.agg(F.min(_rate(steps, start))).first()[0] or 0.0
-    if weights is None and lowest > 0.5:  # rates are linear in the budget: no document falls below one
-        start, steps = start / lowest, [c / lowest for c in steps]
-    rate = _rate(steps, start)
-    if weights is None and lowest > 0.5:
-        rate = F.greatest(rate, F.lit(1.0))  # but for the last digit
+    steps, residual = fit_rates(groups, [w * budget for w in share])
+    start, least = 1.0, 0.0
+    if weights is None:
+        least = 1.0
+        lowest = groups.agg(F.min(_rate(steps, start))).first()[0] or 0.0
+        if lowest > 0.5:  # rates are linear in the budget: no document falls below one but for the last digit
+            start, steps = start / lowest, [c / lowest for c in steps]
+        else:  # the domains hardly part: the nearest totals of rates that keep every document
+            steps, residual = fit_rates(groups, [w * budget for w in share], least=least)
+            if residual > MAX_RESIDUAL:
+                warnings.warn(f"default weights missed by {residual:.3f} of all tokens, as every document is kept", stacklevel=2)
+    elif residual > MAX_RESIDUAL:
+        raise ValueError(f"the weights are missed by {residual:.3f} of all tokens: the documents' posteriors cannot meet them")
+    rate = _rate(steps, start, least)
     out = seen.select("_id", F.col("_k.*"), "n_tokens", "posterior", rate.alias("rate"))
     whole = F.floor("rate")
     more = uniform("_id", seed=22) < F.col("rate") - whole

@@ -207,6 +207,17 @@ def test_vantage_point_trees_lose_no_link(spark):
         (d, c) for d, _, c in brute_components(list(enumerate(fps)))]
 
 
+def test_rows_of_one_id_in_different_components_both_stay(spark, empty):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = a + " "
+    rows = [(1, a), (1, b), (2, c), (3, near), (1, near), (4, d), (4, d), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    out = sorted((r.doc_id or -1, r.text) for r in simhash.drop_near_copies(df).collect())
+    assert out == sorted([(1, a), (1, b), (2, c), (4, d), (-1, a), (-1, a)])
+    assert simhash.drop_near_copies(empty).collect() == [] and simhash.simhash_components(empty).collect() == []
+
+
 def test_near_copies_one_stays(odd, clashing):
     ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in simhash.drop_near_copies(odd).collect())
     assert ids.count(8) == 1 and 9 not in ids and 10 not in ids and ids.count(-1) == 1 and ids.count(0) == 1
@@ -477,6 +488,21 @@ def test_quality_network_without_labels(empty, odd):
 
 
 # ------------------------------------------------------------------ mixing
+def test_mixing_keeps_every_document_where_domains_hardly_part(spark, monkeypatch):
+    """Rates below one are lifted under default weights; stated weights that cannot be met raise."""
+    rows = [(i, 0.6, 0.4) for i in range(1000)] + [(1000 + i, 1.0, 0.0) for i in range(10)] + [(2000 + i, 0.0, 1.0) for i in range(2)]
+    seen = spark.createDataFrame(rows, "i long, a double, b double")
+    model = mixing.Domains(("a", "b"), (), (0.0, 0.0), ((), ()), ((), ()))
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, model, *keep: seen.select(
+        F.col("i").alias("_id"), F.struct("i").alias("_k"), F.lit(10).cast("long").alias("n_tokens"), F.array("a", "b").alias("posterior")))
+    monkeypatch.setattr(mixing.fit_rates, "__defaults__", (1.0, 1e-6, 25, 0.0))
+    docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
+    out = mixing.mix(docs, model, None, "doc_id").collect()
+    assert len(out) == len(rows) and min(r["copies"] for r in out) >= 1
+    with pytest.raises(ValueError, match="missed"):
+        mixing.mix(docs, model, {"a": 0.05, "b": 0.95}, "doc_id")
+
+
 def test_mixing_meets_its_targets(spark, odd, empty):
     rng = random.Random(3)
     rows = [(i, ("the cat " if i % 5 else "der hund ") * rng.randint(1, 30) + prose(rng, 3), "en" if i % 5 else "de") for i in range(300)]
