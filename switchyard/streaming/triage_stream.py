@@ -1,8 +1,9 @@
 """ST1: score and route arriving messages with a batch-fitted model.
 
-source (parquet files, fixed schema) -> ``foreachBatch``: ids that the sink
+source (parquet files, fixed schema) -> ``foreachBatch``: messages that the sink
 already holds from earlier batches are left out, the batch scoring chain runs
-on the rest -> parquet sink partitioned by batch id.  No message is dropped for
+on the rest -> parquet sink partitioned by batch id.  A message is known by its
+id, or, where it has none, by a hash of its source, time and text.  No message is dropped for
 being late: repeats are found in the sink, not in a bounded state.  Writing per
 batch id is idempotent: a replayed micro-batch looks at earlier batches only
 and overwrites its own partition, so a restart after a lost executor or driver
@@ -11,7 +12,7 @@ gives the same output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,22 +36,28 @@ def message_stream(spark: SparkSession, path: str, max_files: int | None = None,
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
+def message_key() -> Column:
+    """The id as text; without an id the hash of source, time and text (each null apart from an empty one)."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("source", "ts", "message")]
+    return F.coalesce(F.concat(F.lit("id:"), F.col("id").cast("string")), F.concat(F.lit("hash:"), F.sha2(F.concat_ws("\n", *parts), 256)))
+
+
 def start_triage_stream(spark: SparkSession, source_path: str, sink_path: str, checkpoint: str,
                         model: ScoringModel, policy: Policy, channel_col, available_now: bool = True,
                         max_files: int | None = None, id_type: str = "long", every: str = "10 seconds"):
     stream = message_stream(spark, source_path, max_files, id_type)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["id"])
+        batch = batch.withColumn("message_key", message_key()).dropDuplicates(["message_key"])
         session = batch.sparkSession
         if batch_id > 0:
-            kind = batch.schema["id"].dataType.simpleString()
-            done = session.read.schema(f"id {kind}, batch_id int").parquet(sink_path).where(F.col("batch_id") < batch_id)
-            batch = batch.join(done.select("id"), "id", "left_anti")
+            done = session.read.schema("message_key string, batch_id int").parquet(sink_path).where(F.col("batch_id") < batch_id)
+            batch = batch.join(done.select("message_key"), "message_key", "left_anti")
         batch = batch.persist()  # scored and joined: read twice
         try:
-            routed = score_and_route(model, batch, policy, channel_col)
-            (routed.withColumn("batch_id", F.lit(batch_id))
+            routed = score_and_route(model, batch.withColumn("id", F.col("message_key")), policy, channel_col)
+            named = routed.withColumnRenamed("id", "message_key").join(batch.select("message_key", "id"), "message_key")
+            (named.select("id", *[c for c in routed.columns if c != "id"], "message_key", F.lit(batch_id).alias("batch_id"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").parquet(sink_path))
         finally:

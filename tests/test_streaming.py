@@ -38,11 +38,20 @@ def test_stream_matches_batch(spark, tmp_path):
     late = raw.where("id = 5").withColumn("id", F.lit(-5).cast("long")).withColumn(
         "ts", F.lit("2020-01-01 00:00:00").cast("timestamp"))
     late.select("id", "message", "source", "ts").write.mode("append").parquet(src)
+    # messages without an id are each their own; a repeated one is a replay
+    lost = raw.where("id in (7, 8)").withColumn("id", F.lit(None).cast("long"))
+    for _ in range(2):
+        lost.select("id", "message", "source", "ts").write.mode("append").parquet(src)
     raw = raw.unionByName(late, allowMissingColumns=True)
     q = start_triage_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ckpt"), m,
                             QQ.TRIAGE_POLICY, FX.message_channel(), max_files=2)
     q.awaitTermination(240)
-    streamed = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
+    everything = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
+    unnamed = everything.where("id IS NULL")
+    assert unnamed.count() == 2 and unnamed.select("message_key").distinct().count() == 2
+    named = everything.where("id in (7, 8)").select("pred", "route")
+    assert unnamed.select("pred", "route").exceptAll(named).count() == 0
+    streamed = everything.where("id IS NOT NULL")
     batch = score_and_route(m, raw, QQ.TRIAGE_POLICY, FX.message_channel())
     cols = ["id", "pred", "route"]
     assert streamed.count() == batch.count()
