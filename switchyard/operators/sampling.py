@@ -103,9 +103,12 @@ def stratified_holdout(df: DataFrame, label: str, id_col: str, test_fraction=0.2
             .withColumn("is_test", F.col("class_rank") <= F.col("n_test")))
 
 
-def check_min_class_size(sizes: DataFrame, label: str, minimum: int = 2) -> DataFrame:
-    """Classes too small to stratify (a split needs at least two rows)."""
-    return sizes.where(F.col("n_class") < minimum).select(label, "n_class")
+def check_min_class_size(df: DataFrame, label: str, minimum: int = 2, shown: int = 10) -> None:
+    """Raise if a class has fewer than ``minimum`` rows: no split can have it on
+    both sides.  The message names at most ``shown`` of them."""
+    small = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < minimum).orderBy(label).limit(shown).collect()
+    if small:
+        raise ValueError(f"classes with fewer than {minimum} rows: " + ", ".join(f"{r[0]} ({r[1]})" for r in small))
 
 
 def repeated_holdout(df: DataFrame, label: str, id_col: str, seeds, test_fraction=0.2) -> DataFrame:

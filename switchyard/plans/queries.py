@@ -419,9 +419,17 @@ def msgs_by_id(spark, sf_dir):
     return TF.partition_by_id(msgs(spark, sf_dir))
 
 
+def train_rows(spark, sf_dir):
+    """(id, label) of the training side of the seed-42 holdout; the split is written once."""
+    from switchyard.plans.materialize import materialized
+    split = materialized(spark, "holdout_split", sf_dir, lambda: X.stratified_holdout(
+        pool(spark, sf_dir).select("id", "label"), "label", "id", HOLDOUT_FRACTION, SPLIT_SEED).select("id", "label", "is_test"))
+    return split.where(~F.col("is_test")).select("id", "label")
+
+
 def train_docs(spark, sf_dir):
-    """Training side of the seed-42 holdout (ids only joined back to text)."""
-    return holdout(spark, sf_dir).where(~F.col("is_test")).select("id", "text", "label")
+    """The training side with its texts."""
+    return msgs(spark, sf_dir).join(train_rows(spark, sf_dir).select("id"), "id", "left_semi").select("id", "text", "label")
 
 
 @query("word_tokens")
@@ -453,7 +461,7 @@ def q_char_ngrams(spark, sf_dir):
 
 @query("vocabulary")
 def q_vocabulary(spark, sf_dir):
-    tr = train_docs(spark, sf_dir)
+    tr = train_rows(spark, sf_dir)
     n = TF.count_docs(tr)
     ids = tr.select("id")
     parts = [TF.fit_vocabulary(term_table(spark, sf_dir, s).join(ids, "id", "left_semi"), n, s)
@@ -463,7 +471,7 @@ def q_vocabulary(spark, sf_dir):
 
 
 def _block_features(spark, sf_dir, spec):
-    tr = train_docs(spark, sf_dir)
+    tr = train_rows(spark, sf_dir)
     tf = term_table(spark, sf_dir, spec)
     vocab = TF.fit_vocabulary(tf.join(tr.select("id"), "id", "left_semi"), TF.count_docs(tr), spec)
     return TF.tfidf(tf, vocab, spec)
@@ -479,10 +487,16 @@ def q_tfidf_char(spark, sf_dir):
     return TF.feature_summary(_block_features(spark, sf_dir, TF.CHAR))
 
 
+def features(spark, sf_dir):
+    """The feature union of every message, written once."""
+    from switchyard.plans.materialize import materialized
+    return materialized(spark, "features", sf_dir, lambda: TF.fit_transform(
+        train_rows(spark, sf_dir), msgs(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))[0])
+
+
 @query("feature_union")
 def q_feature_union(spark, sf_dir):
-    feats, _ = TF.fit_transform(train_docs(spark, sf_dir), msgs(spark, sf_dir),
-                                tf_tables=term_tables(spark, sf_dir))
+    feats, _ = TF.fit_transform(train_rows(spark, sf_dir), msgs(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))
     return TF.feature_summary(feats)
 
 
@@ -491,13 +505,9 @@ from switchyard.operators import classify as C  # noqa: E402
 
 
 def _centroid_model(spark, sf_dir):
-    tr = train_docs(spark, sf_dir)
-    feats, _ = TF.fit_transform(tr, msgs(spark, sf_dir), tf_tables=term_tables(spark, sf_dir))
-    # The feature table is read by the weights and by the scoring join, and
-    # by the three centroid queries; persisting lets the cache manager share it.
-    feats = feats.persist()
-    labelled = tr.select("id", "label")
-    w = C.centroid_weights(feats, labelled).persist()  # small: classes x vocabulary
+    from switchyard.plans.materialize import materialized
+    labelled, feats = train_rows(spark, sf_dir), features(spark, sf_dir)
+    w = materialized(spark, "centroid_weights", sf_dir, lambda: C.centroid_weights(feats, labelled))
     return feats, w, C.intercepts(w), C.class_list(labelled, "label")
 
 

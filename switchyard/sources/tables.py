@@ -99,6 +99,12 @@ AUDIT_SCHEMA = T.StructType([
 ])
 
 
+def _holds_csv(fs, folder) -> bool:
+    """Whether a folder's files are CSV parts, as Spark writes them."""
+    names = [entry.getPath().getName() for entry in fs.listStatus(folder)]
+    return any(n.endswith((".csv", ".csv.gz")) for n in names)
+
+
 def read_audit(spark: SparkSession, path: str | None) -> DataFrame:
     """The audit set; an empty frame with the same schema when it is absent.
 
@@ -109,7 +115,7 @@ def read_audit(spark: SparkSession, path: str | None) -> DataFrame:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(at):
-            if path.endswith(".parquet") or fs.getFileStatus(at).isDirectory():
+            if path.endswith(".parquet") or fs.getFileStatus(at).isDirectory() and not _holds_csv(fs, at):
                 return spark.read.parquet(path)
             return _read_csv(spark, path, AUDIT_SCHEMA, ("ticket_id",))
     return spark.createDataFrame([], AUDIT_SCHEMA)

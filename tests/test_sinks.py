@@ -28,3 +28,12 @@ def test_crosstab_csv(spark, tmp_path):
 
 def test_missing_audit_file_is_empty(spark, tmp_path):
     assert read_audit(spark, str(tmp_path / "nope.csv")).count() == 0
+
+
+def test_audit_from_a_folder_of_csv_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("TK-1", "Billing", "Other"), ("TK-2", "Other", "Other")], "ticket_id string, manual_category string, tag string")
+    rows.repartition(2).write.option("header", True).csv(str(tmp_path / "audit"))
+    rows.write.parquet(str(tmp_path / "parquet"))
+    want = sorted(tuple(r) for r in rows.collect())
+    for folder in ("audit", "parquet"):
+        assert sorted((r.ticket_id, r.manual_category, r.tag) for r in read_audit(spark, str(tmp_path / folder)).collect()) == want
