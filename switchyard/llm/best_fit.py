@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ END_ID = 0
 #: Letters of the Latin blocks that are composed, have one lower-case letter and
 #: keep together in the tokenizer (U+0130 lowers to two characters).
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-#: Words that are one run of letters, one run of plain marks, or both.
-_PLAIN = re.compile(rf"([{_LETTERS}]*)([!-&(-/:-;=?-@\[-`{{}}-~]*)")
+_LETTER_RUN = re.compile(f"[{_LETTERS}]+")
+#: Marks that end a word; an apostrophe can open a word of its own.
+_TAIL = rf"([{_LETTERS}])([!-&(-/:-@\[-`{{-~]+)( |$)"
+#: Bytes of text whose words are looked up together.
+_BATCH_BYTES = 2 << 20
 
 
 def tokenizer_file() -> str:
@@ -42,72 +46,90 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter by which the vocabulary writes each byte: bytes that print stand
+    for themselves, the others follow from U+0100 on.  A space stays one."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return dict(zip(prints, prints)) | {b: 0x100 + i for i, b in enumerate(others)} | {0x20: 0x20}
+
+
 class WordEncoder(dict):
-    """Text to ids, equal to the tokenizer file's, with the ids of words remembered.
+    """Texts to ids, equal to the tokenizer file's, with the ids of words remembered.
 
-    The tokenizer drops white space and never joins what a space parts, so the
-    ids of a text are those of its space-separated words, one after the other.
+    The tokenizer lowers letters, drops white space and never joins what a space
+    parts, so the ids of a text are those of its space-separated words, one after
+    the other.  The marks that end a word are a word of their own to it, too.
     """
 
     LIMIT = 400_000
 
     def __init__(self, path: str):
+        import json
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)  # for words that need no more than the merges
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = byte_letters()
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.runs = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_runs(self, runs: list[str]) -> None:
-        """Ids of runs of letters or of marks, encoded many at a time: a run is
-        one word of the tokenizer, so it ends with its only end-of-word id."""
-        together = [" ".join(runs[lo:lo + 256]) for lo in range(0, len(runs), 256)]
-        ids = np.concatenate(self._encode(together))
-        raw, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-        self.runs.update(zip(runs, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of words; those of a run of letters and a run of
-        marks come from the runs' ids."""
+
+    def _bytes(self, encodings) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in encodings]
+
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters, many at a time: each ends with its only end-of-word id."""
+        lines = [" ".join(runs[lo:lo + 256]).lower().encode().decode("latin-1").translate(self.letters) for lo in range(0, len(runs), 256)]
+        raw = b"".join(self._bytes(self.merges.encode_batch_fast(lines, add_special_tokens=False)))
+        stops = ((np.flatnonzero(self.ends[np.frombuffer(raw, self.dtype)]) + 1) * self.dtype.itemsize).tolist()
+        return list(map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)))
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the words' ids."""
         if len(self) >= self.LIMIT:
             self.clear()
-        if len(self.runs) >= self.LIMIT:
-            self.runs = {"": b""}
-        plain, first, second, other = [], [], [], []
-        for w in words.difference(self):
-            if m := _PLAIN.fullmatch(w):
-                plain.append(w)
-                first.append(m[1].lower())
-                second.append(m[2])
-            else:
-                other.append(w)
-        if new := list({*first, *second}.difference(self.runs)):
-            self._learn_runs(new)
-        known = self.runs.__getitem__
-        self.update(zip(plain, map(bytes.__add__, map(known, first), map(known, second)), strict=True))
-        if other:
-            self.update(zip(other, [ids.tobytes() for ids in self._encode(other)], strict=True))
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        out, lo = [], 0
-        while lo < len(texts):
-            hi, held = lo, 0
-            while hi < len(texts) and held < 1 << 20:
-                held += len(texts[hi])
-                hi += 1
-            split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[lo:hi]]
-            self.learn(set().union(*split))
-            out += [b"".join(map(self.__getitem__, words)) for words in split]
-            lo = hi
-        return out
+        new = [w for w in words if w not in self]
+        if runs := list(filter(_LETTER_RUN.fullmatch, new)):
+            self.update(zip(runs, self._run_ids(runs), strict=True))
+        if other := [w for w in new if w not in self]:
+            self.update(zip(other, self._bytes(self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        """Parts of each text that are encoded on their own.  Marks are cut off and
+        ASCII lowered where no special token can come about and no mark can join a letter."""
+        spaced = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
+        odd = pc.match_substring_regex(spaced, "[\u0300-\U0010ffff]")
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(spaced, token, ignore_case=True))
+        cut = pc.replace_substring_regex(pc.ascii_lower(spaced), _TAIL, r"\1 \2\3")
+        return pc.split_pattern(pc.if_else(odd, spaced, cut), " ")
+
+    def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: none)."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        groups = np.flatnonzero(np.diff(ends // _BATCH_BYTES, prepend=0, append=-1)).tolist()
+        return [ids for lo, hi in zip([0, *groups], groups) if hi > lo for ids in self._encode(texts.slice(lo, hi - lo))]
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        parts = self._split(texts)
+        coded = parts.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(words)
+        known = list(map(self.__getitem__, words))
+        table = np.frombuffer(b"".join(known), self.dtype)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        n = size[which]
+        end = np.cumsum(n)
+        ids = table[np.arange(end[-1]) + np.repeat(start[which] - (end - n), n)]
+        return np.split(ids, np.concatenate([[0], end])[parts.offsets.to_numpy()[1:-1] - parts.offsets[0].as_py()])
 
 
 @functools.lru_cache(maxsize=2)
@@ -120,16 +142,15 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     every document; ``nth`` counts the task's earlier pieces of that length."""
     def run(batches):
         enc = encoder(path)
-        size, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), Counter()
         for b in slices(batches):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_texts([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
-                for k, start in enumerate(range(0, len(ids), capacity * size)):
-                    piece = ids[start:start + capacity * size]
-                    n = len(piece) // size
-                    rows.append((doc, k, start // size, n, piece, zlib.crc32(np.frombuffer(piece, enc.dtype).astype("<u4").tobytes()), part, seen[n]))
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_texts(b.column(1)), strict=True):
+                ids = np.append(ids, enc.dtype.type(end_id))
+                for k, start in enumerate(range(0, len(ids), capacity)):
+                    piece = ids[start:start + capacity]
+                    n = len(piece)
+                    rows.append((doc, k, start, n, piece.tobytes(), zlib.crc32(piece.astype("<u4").tobytes()), part, seen[n]))
                     seen[n] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE_TYPES, strict=True)], _PIECE_NAMES)
