@@ -14,7 +14,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.llm.common import has_letter, slices, uniform
@@ -128,15 +128,20 @@ class Model:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, max_text_bytes: int = TRAIN_TEXT_BYTES, landmarks: int = LANDMARKS) -> Model:
     """Model from (doc_id, text, lang): at most ``rows`` texts of each language,
-    of at most ``max_text_bytes`` bytes, drawn by a hash of the id.  Rows with
-    a null language or a text without a word do not count."""
+    of at most ``max_text_bytes`` bytes, drawn by a hash of id and text below a
+    threshold that follows from the language's count.  Rows with a null language
+    or a text without a word do not count, repeated rows count once."""
     pool = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= max_text_bytes) & (F.octet_length("text") > 0))
-    # ids only are ranked; a partial limit precedes the shuffle
-    order = Window.partitionBy("lang").orderBy(uniform("doc_id", seed=3), "doc_id")
-    ids = pool.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id", "lang")
-    got = pool.select("doc_id", "text", "lang").join(ids.distinct(), ["doc_id", "lang"])
-    texts = sorted({(r["doc_id"], r["lang"], r["text"]) for r in got.collect() if has_letter(r["text"])})
-    return Model([_lower(t) for _, _, t in texts], [lang for _, lang, _ in texts], landmarks)
+    size = {r[0]: r[1] for r in pool.groupBy("lang").agg(F.count("*")).collect()}
+    # what is drawn of a language holds its ``rows`` smallest hashes but for a chance of one in a billion
+    share = [F.when(F.col("lang") == lang, F.lit((rows + 6 * rows ** 0.5 + 20) / n)) for lang, n in size.items()]
+    drawn = pool.select("doc_id", "lang", "text", uniform("doc_id", "text", seed=3).alias("u")).where(F.col("u") < F.coalesce(*share, F.lit(0.0)))
+    found: dict[str, list] = {lang: [] for lang in size}
+    for r in drawn.distinct().collect():
+        found[r["lang"]].append(r)
+    kept = [r for of in found.values() for r in sorted(of, key=lambda r: (r["u"], r["text"]))[:rows] if has_letter(r["text"])]
+    kept.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["lang"], r["text"]))
+    return Model([_lower(r["text"]) for r in kept], [r["lang"] for r in kept], landmarks)
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -144,7 +149,8 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     A null text or one without a letter is ``und`` with score 0, and so is
     everything when nothing could be learned.  Ties go to the language first
-    in alphabetical order.
+    in alphabetical order.  Repeated rows are scored each, texts are whole
+    however long, and an empty table gives no row.
     """
     def run(batches):
         for b in slices(batches):

@@ -554,6 +554,36 @@ def test_rates_solve_the_bounded_least_squares(spark):
 
 
 # ------------------------------------------------------------------ URLs
+def test_language_scores_equal_a_plain_kernel(spark):
+    """Scores recomputed gram by gram in plain sets, and a bounded draw from rows that share one id."""
+    rng = random.Random(12)
+    rows = [(None if i % 2 else i, prose(rng, 12, "abcde" if i % 3 else "wxyzü"), "a" if i % 3 else "z") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, rows=40, landmarks=8)
+    again = langid.fit(df.repartition(7), rows=40, landmarks=8)
+    assert np.array_equal(model.weights, again.weights)
+    alphabet = set(model.kernel.grams.tolist())
+    grams = lambda text: {g for n in (1, 2, 3) for g in langid.gram_codes(np.frombuffer(text.lower().encode(), np.uint8), n).tolist()} & alphabet
+    marks = [{g for g, v in zip(model.kernel.grams.tolist(), row) if v} for row in model.kernel.marks]
+    out = langid.identify(df.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(9)), model, "text").collect()
+    assert len(out) == len(rows)
+    for r in out[:60]:
+        own = grams(r["text"])
+        kernel = [len(own & m) / (max(1, len(m)) * max(1, len(own))) ** 0.5 for m in marks]
+        scores = np.array(kernel) @ model.weights[:-1] + model.weights[-1]
+        assert r["lang_pred"] == model.langs[int(scores.argmax())] and abs(r["score"] - min(1, max(0, scores.max()))) < 1e-4
+
+
+def test_severity_and_quality_have_empty_results_on_empty_tables(spark, odd, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(14)], "doc_id long, grade int")
+    model = toxicity.fit(odd, grades)
+    assert toxicity.severity(empty, model, "doc_id").collect() == []
+    assert toxicity.severity(odd, model, "doc_id").count() == odd.count()
+    net = quality_cnn.fit(empty, labels)
+    assert quality_cnn.scores(empty, net, "doc_id").collect() == [] and quality_cnn.scores(odd, net, "doc_id").count() == odd.count()
+
+
 def test_url_parts_and_rules(spark):
     cases = [(1, "http://A.Example.ORG/en/12?x=/es/", "a.example.org", "/en/12", "example.org/en/1", "block"),
              (2, "https://example.org/es/", "example.org", "/es/", "example.org/es/", "block"),
