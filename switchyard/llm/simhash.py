@@ -306,13 +306,15 @@ def drop_near_copies(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MA
     id cannot be named as copies and all stay.  An empty table stays empty.
     """
     found = written(rooted(fingerprints(docs, k), max_bits).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_id"), "copies")
-    several = found.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    ids = found.groupBy("_id").agg(F.count("*").alias("_rows"), F.max(F.col("_id") == F.col("component_id")).alias("_first"))
     kept = found.where("_id = component_id").select("_id", "fp", "root").distinct()
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text", F.struct(*docs.columns).alias("_d"))
-    alone = named.join(kept.join(several, "_id", "left_anti"), "_id", "left_semi").select("_d.*")
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_d"))
+    # both joins deal the documents out alike, so their texts are shuffled once
+    alone = named.join(ids.where("_rows = 1 AND _first").select("_id"), "_id", "left_semi").select("_d.*")
+    several = named.join(ids.where("_rows > 1").select("_id"), "_id", "left_semi").withColumn("text", F.col("_d.text"))
     # only rows that share their id need their fingerprints beside them
     order = [F.col("text").isNull(), F.col("text"), F.expr("_d.source"), F.expr("_d.lang")]
-    shared = (with_fingerprint(named.join(several, "_id", "left_semi"), k).join(kept, ["_id", "fp"])
+    shared = (with_fingerprint(several, k).join(kept, ["_id", "fp"])
               .withColumn("_n", F.row_number().over(Window.partitionBy("_id", "root").orderBy(*order)))
               .where("_n = 1").select("_d.*"))
     return alone.unionByName(shared).unionByName(docs.where("doc_id IS NULL"))
