@@ -69,3 +69,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``scratch_path`` named, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
