@@ -99,22 +99,28 @@ def recommend_team(category: Column, channel: Column, policy: Policy) -> Column:
 
 
 def prepare_tickets(raw: DataFrame, roster: DataFrame, policy: Policy,
-                    roster_history: DataFrame | None = None, validate: bool = False) -> DataFrame:
+                    roster_history: DataFrame | None = None, validate: bool = True) -> DataFrame:
     """The prepared ticket fact, one lazy plan.
 
     Order matters only for semantics the optimizer preserves: the window
     predicate is written before the lookup and Catalyst pushes it into the
-    scan; the lookup is a size-checked broadcast (or AQE's choice).
-    ``validate`` first runs the checks V1-V6 over all raw rows (a few jobs)
-    and raises on a violation.
+    scan; the lookup is an equi-join, a broadcast only where AQE chooses one.
+    ``validate`` first runs the checks V1-V6 over all raw rows, also those
+    outside the window (one job that reads three columns), and raises on a
+    violation; without it only a roster that lists an agent twice is refused.
     """
     if validate:
-        validate_inputs(raw, roster, sorted(policy.sla_minutes))
+        validate_inputs(raw, roster, policy.known_channels)
     t = parse_times(raw)
     t = legacy_time_fix(t, policy)
     t = window_filter(t, policy)
     t = add_month(t)
-    t = owner_lookup(t, roster) if roster_history is None else owner_lookup_asof(t, roster_history)
+    if roster_history is not None:
+        t = owner_lookup_asof(t, roster_history)
+    elif validate:  # the roster's keys are known to be unique
+        t = lookup_many_to_one(t, roster_projection(roster), "agent_id")
+    else:
+        t = owner_lookup(t, roster)
     t = add_flags(t, policy)
     if "customer_message" in t.columns:
         t = clean_text(t)

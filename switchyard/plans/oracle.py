@@ -115,6 +115,20 @@ Q["dq_dim_unique"] = with_(GEO) + """, hist AS (
   SELECT s_suppkey FROM supplier JOIN geo g2 ON (s_nationkey + 5) % 25 = g2.n_nationkey)
 SELECT agent_id, count(*)::BIGINT AS n_rows FROM hist GROUP BY 1 HAVING count(*) > 1"""
 
+Q["dq_input_violations"] = with_(RAW) + """, hist AS (
+  SELECT s_suppkey AS agent_id FROM supplier JOIN geo g1 ON s_nationkey = g1.n_nationkey
+  UNION ALL
+  SELECT s_suppkey FROM supplier JOIN geo g2 ON (s_nationkey + 5) % 25 = g2.n_nationkey)
+SELECT 'unknown_agent' AS "check", CAST(agent_id AS VARCHAR) AS value, count(*)::BIGINT AS n_rows FROM raw
+WHERE agent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.agent_id = raw.agent_id) GROUP BY 2
+UNION ALL
+SELECT 'bad_channel', channel, count(*) FROM raw
+WHERE channel NOT IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED', '5-LOW') GROUP BY 2
+UNION ALL
+SELECT 'repeated_ticket', CAST(ticket_id AS VARCHAR), count(*) FROM raw GROUP BY 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'repeated_agent', CAST(agent_id AS VARCHAR), count(*) FROM hist GROUP BY 2 HAVING count(*) > 1"""
+
 Q["dq_scope_exclusions"] = with_(RAW) + """
 SELECT count(*)::BIGINT AS n_rows,
        count(*) FILTER (WHERE created_at < TIMESTAMP '1996-01-01')::BIGINT AS n_before_window,

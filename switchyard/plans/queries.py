@@ -97,6 +97,13 @@ def q_dq_dim_unique(spark, sf_dir):
     return Q.duplicate_keys(FX.roster_history(FX.Tables(spark, sf_dir)), "agent_id")
 
 
+@query("dq_input_violations")
+def q_dq_input_violations(spark, sf_dir):
+    """V3-V6 at once, on the dated roster and the channels that have a target."""
+    t = FX.Tables(spark, sf_dir)
+    return Q.input_violations(FX.raw_tickets(t), FX.roster_history(t), sorted(POLICY.sla_minutes))
+
+
 @query("dq_scope_exclusions")
 def q_dq_scope_exclusions(spark, sf_dir):
     raw = FX.raw_tickets(FX.Tables(spark, sf_dir))

@@ -44,8 +44,13 @@ class Policy:
     target_handoff_rate: float = 0.134
     review_label: str = "Human review"
     tier_two: int = 2
+    channels: tuple = ()            # channels a ticket may arrive on (empty: those with a target)
     extra: dict = field(default_factory=dict)
 
+    @property
+    def known_channels(self) -> list:
+        return sorted(self.channels or self.sla_minutes)
+
     @property
     def owner_category(self) -> dict:
         """Inverse of ``category_owner``: specialist team -> category it owns."""
@@ -126,6 +131,7 @@ class Policy:
             window_end=dt.datetime(2000, 7, 1),
             focus_first_team="AFRICA",
             focus_resolving_team="AMERICA",
+            channels=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
         )
 
 

@@ -93,6 +93,27 @@ def test_validation_failures(spark):
     assert Q.duplicate_keys(ids, "ticket_id").count() == 1  # two missing ids are duplicates
 
 
+def test_all_raw_rows_are_validated_by_default(spark):
+    """One count tells every check, and a row outside the window counts too."""
+    early = dict(created_at="2020-01-01 00:00:00", assigned_team="Billing", category="Other", source_system="helpdesk")
+    t = raw(spark, TICKETS + [dict(early, ticket_id="T0", channel="fax", agent_id="A1"), dict(early, ticket_id="T1", channel="chat"),
+                              dict(early, ticket_id=None, agent_id="ZZ"), dict(early, ticket_id=None, agent_id="ZZ")])
+    twice = roster(spark, ROSTER + [("A1", "Logistics", 1, "Pune", "Day"), ("A9", "Billing", 1, "Pune", "Day")])
+    got = {(r.check, r.value, r.n_rows) for r in Q.input_violations(t, twice, POLICY.known_channels).collect()}
+    assert got == {("unknown_agent", "ZZ", 2), ("bad_channel", "fax", 1), ("repeated_ticket", "T1", 2),
+                   ("repeated_ticket", None, 2), ("repeated_agent", "A1", 2)}
+    with pytest.raises(Q.ValidationError, match="Unknown agent_id"):
+        P.prepare_tickets(t, twice, POLICY)
+    late = raw(spark, TICKETS + [dict(early, ticket_id="T0", channel="fax")])
+    with pytest.raises(Q.ValidationError, match="Unsupported channel.*fax"):
+        P.prepare_tickets(late, roster(spark), POLICY)
+    assert P.prepare_tickets(late, roster(spark), POLICY, validate=False).count() == 3
+    assert Q.input_violations(t.limit(0), roster(spark), ()).count() == 0
+    many = raw(spark, [dict(early, ticket_id=f"T{i}", agent_id=f"Z{i:02}") for i in range(12)])
+    with pytest.raises(Q.ValidationError, match=r"Z09', 1\)\] \.\.\.$"):
+        Q.validate_inputs(many, roster(spark), POLICY.known_channels)
+
+
 def test_post_conditions_hold(spark):
     fact = P.prepare_tickets(raw(spark, TICKETS), roster(spark), POLICY)
     r = Q.post_conditions(fact, "ticket_id", "created_dt", POLICY).collect()[0]
