@@ -38,7 +38,9 @@ QUARTERS = 4
 #: Expected size of the sample that fits the routing trees (512 KB on the driver).
 ROUTING_SAMPLE = 65536
 #: Distinct fingerprints a shard should own; sets the depth of the routing trees.
-SHARD_TARGET = 8192
+#: A level sends about 37 % of the fingerprints to both sides, so a shard is as
+#: large as one task searches in seconds (2 MB of them) and the levels are few.
+SHARD_TARGET = 1 << 18
 LEAF = 48
 _SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
