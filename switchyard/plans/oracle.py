@@ -93,6 +93,14 @@ SELECT ticket_id, created_at AS created_dt, first_response_at AS first_response_
        CAST(csat_score AS INTEGER) AS csat_score, channel
 FROM raw"""
 
+Q["rejected_cells"] = """
+SELECT l_orderkey, l_linenumber, 'l_quantity' AS cell, CAST(l_quantity AS VARCHAR) AS value, 'not a whole number' AS reason
+FROM lineitem WHERE l_quantity <> floor(l_quantity)
+UNION ALL
+SELECT l_orderkey, l_linenumber, 'l_discount', CAST(l_discount AS VARCHAR), 'not a whole number' FROM lineitem WHERE l_discount <> floor(l_discount)
+UNION ALL
+SELECT l_orderkey, l_linenumber, 'l_tax', CAST(l_tax AS VARCHAR), 'not a whole number' FROM lineitem WHERE l_tax <> floor(l_tax)"""
+
 Q["dq_orphan_keys"] = """
 SELECT CAST(l_suppkey AS VARCHAR) AS key, count(*)::BIGINT AS n_rows
 FROM lineitem

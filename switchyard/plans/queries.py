@@ -50,7 +50,7 @@ from switchyard.functions.columns import minutes_between  # noqa: E402
 from switchyard.operators import metrics as B  # noqa: E402
 from switchyard.operators import quality as Q  # noqa: E402
 from switchyard.operators.joins import fallback_lookup  # noqa: E402
-from switchyard.sources.tables import typed_tickets  # noqa: E402
+from switchyard.sources.tables import rejected_cells, typed_tickets  # noqa: E402
 
 R6 = 6
 
@@ -73,6 +73,15 @@ def q_typed_scan(spark, sf_dir):
                         "transfers", "csat_score", "channel")
 
 
+@query("rejected_cells")
+def q_rejected_cells(spark, sf_dir):
+    """Line amounts as an export's text, read as whole numbers: every cell that has no such value."""
+    li = FX.Tables(spark, sf_dir).lineitem
+    text = li.select("l_orderkey", "l_linenumber", *[F.col(c).cast("string").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    typed = typed_tickets(text, dict.fromkeys(("l_quantity", "l_discount", "l_tax"), "int"), rejects=True)
+    return rejected_cells(typed, "l_orderkey", "l_linenumber")
+
+
 @query("dq_orphan_keys")
 def q_dq_orphan_keys(spark, sf_dir):
     """V3 on lineitem suppliers against all suppliers."""

@@ -38,7 +38,7 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple, with_file: bool = False) -> DataFrame:
     """Columns by the names in the header, in whatever order; text only.
 
     A missing required column is an error, another missing one is null.  Files
@@ -52,8 +52,8 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, required: tu
     lost = [c for c in required if c not in raw.columns]
     if lost:
         raise ValueError(f"{path}: no column {', '.join(lost)}")
-    return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")).alias(f.name)
-                        for f in schema.fields])
+    cells = [(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")).alias(f.name) for f in schema.fields]
+    return raw.select(*cells, *([F.col("_metadata.file_path").alias("source_file")] if with_file else []))
 
 
 def _whole_number(col):
@@ -62,26 +62,64 @@ def _whole_number(col):
     return F.when(value == F.floor(value), value.try_cast("int"))
 
 
-def typed_tickets(raw: DataFrame, types: dict | None = None) -> DataFrame:
-    """Null tokens -> null, then typed with try-casts (bad cells -> null)."""
+def _typed(raw: DataFrame, name: str, types: dict):
+    """(the cell without null tokens, its typed value, what a cell without a value is not)."""
+    kind = raw.schema[name].dataType
+    text = isinstance(kind, T.StringType)
+    cell = null_tokens_to_null(F.col(name)) if text else F.col(name)
+    target = types.get(name)
+    if target is None:
+        return cell, cell, None
+    if target == "timestamp_ntz":
+        return cell, parse_timestamp(cell, kind), "not a timestamp"
+    if target == "int" and text:
+        return cell, _whole_number(cell), "not a whole number"
+    return cell, cell.try_cast(target), f"not a {target}"
+
+
+def typed_tickets(raw: DataFrame, types: dict | None = None, rejects: bool = False) -> DataFrame:
+    """Null tokens -> null, then typed with try-casts (bad cells -> null).
+
+    With ``rejects`` a column of that name lists each row's bad cells, those that
+    hold something else than a null token and got no value, as (cell, value,
+    reason); null where there are none.  It comes from the same reading.
+    """
     types = TICKET_TYPES if types is None else types
-    dtypes = dict(raw.dtypes)
-    out = []
-    for name in raw.columns:
-        col = F.col(name)
-        if dtypes[name] == "string":
-            col = null_tokens_to_null(col)
-        target = types.get(name)
-        if target is None:
-            out.append(col.alias(name))
-        elif target == "timestamp_ntz":
-            out.append(parse_timestamp(col, raw.schema[name].dataType).alias(name))
-        else:
-            number = target == "int" and dtypes[name] == "string"
-            out.append((_whole_number(col) if number else col.try_cast(target)).alias(name))
+    parts = {name: _typed(raw, name, types) for name in raw.columns if name != "rejects"}
+    out = [typed.alias(name) for name, (_, typed, _) in parts.items()]
+    if rejects:
+        bad = [F.when(cell.isNotNull() & typed.isNull(),
+                      F.struct(F.lit(name).alias("cell"), cell.cast("string").alias("value"), F.lit(reason).alias("reason")))
+               for name, (cell, typed, reason) in parts.items() if reason]
+        none = F.lit(None).cast("array<struct<cell:string,value:string,reason:string>>")
+        found = F.filter(F.array(*bad), lambda r: r.isNotNull()) if bad else none
+        out.append(F.when(F.size(found) > 0, found).alias("rejects"))
     return raw.select(*out)
 
 
+def rejected_cells(typed: DataFrame, *keys: str) -> DataFrame:
+    """One row for every bad cell of a table typed with ``rejects``: the key
+    columns of its row, cell, value, reason.  Rows without one cost no more
+    than a look at the column."""
+    return typed.where(F.col("rejects").isNotNull()).select(*keys, F.inline("rejects"))
+
+
+def convert_ticket_csv(spark: SparkSession, path_glob: str, out: str, types: dict | None = None) -> DataFrame:
+    """The export as a columnar table under ``out``, written in one reading of its
+    files: typed columns, ``source_file``, ``rejects``, partitioned by the month
+    of creation (``created_month``; null where that cell is bad).
+
+    Quoted newlines keep a CSV file in one task; later readers split the table
+    and prune its months.  Spark does not know a row's line in such a file, so
+    a bad cell is named by file and ticket.
+    """
+    raw = _read_csv(spark, path_glob, TICKET_SCHEMA, ("ticket_id", "created_at"), with_file=True)
+    table = typed_tickets(raw, types, rejects=True).withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
+    # rebalanced by month: right-sized files, a hot month split over tasks
+    table.hint("rebalance", "created_month").write.mode("overwrite").partitionBy("created_month").parquet(out)
+    return spark.read.parquet(out)
+
+
 def read_ticket_csv(spark: SparkSession, path_glob: str) -> DataFrame:
     """All files matching the glob (not an arbitrary first one)."""
     return typed_tickets(_read_csv(spark, path_glob, TICKET_SCHEMA, ("ticket_id", "created_at")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from switchyard.functions.text import fold_accents
 from switchyard.operators.sampling import stratified_holdout
 from switchyard.operators.volumes import crosstab_wide
-from switchyard.sources.tables import read_audit, read_ticket_csv, typed_tickets
+from switchyard.sources.tables import convert_ticket_csv, read_audit, read_ticket_csv, rejected_cells, typed_tickets
 
 
 def test_rows_without_a_class_are_split_too(spark):
@@ -46,3 +46,23 @@ def test_audit_by_any_path(spark, tmp_path):
 def test_all_accents_fold(spark):
     df = spark.createDataFrame([("šőż é é ñ ü",)], "t string")
     assert df.select(fold_accents(F.col("t"))).first()[0] == "soz e e n u"
+
+
+def test_every_bad_cell_is_listed_with_its_file(spark, tmp_path):
+    head = "ticket_id,created_at,transfers,csat_score,refund_amount_inr,resolved_at,customer_message\n"
+    (tmp_path / "a_tickets.csv").write_text(head + 'T1,2025-02-01 09:00:00,2.0,N/A,10.50,,"two\nlines"\nT2,soon,2.5,five,,NULL,x\n')
+    (tmp_path / "b_tickets.csv").write_text(head + "T3,2025-03-01,1,4,1e99,2025-13-01 00:00:00,y\n")
+    glob, out = str(tmp_path / "*_tickets.csv"), str(tmp_path / "columnar")
+    table = convert_ticket_csv(spark, glob, out)
+    listed = {(r.source_file.rsplit("/", 1)[1], r.ticket_id, r.cell, r.value, r.reason)
+              for r in rejected_cells(table, "source_file", "ticket_id").collect()}
+    assert listed == {("a_tickets.csv", "T2", "created_at", "soon", "not a timestamp"),
+                      ("a_tickets.csv", "T2", "transfers", "2.5", "not a whole number"),
+                      ("a_tickets.csv", "T2", "csat_score", "five", "not a whole number"),
+                      ("b_tickets.csv", "T3", "refund_amount_inr", "1e99", "not a decimal(12,2)"),
+                      ("b_tickets.csv", "T3", "resolved_at", "2025-13-01 00:00:00", "not a timestamp")}
+    plain = read_ticket_csv(spark, glob)
+    assert table.select(plain.columns).exceptAll(plain).count() == 0 and table.count() == plain.count() == 3
+    assert {r.created_month for r in table.select("created_month").collect()} == {"2025-02", "2025-03", None}
+    assert rejected_cells(typed_tickets(plain, {}, rejects=True), "ticket_id").count() == 0
+    assert rejected_cells(table.limit(0), "ticket_id").count() == 0
