@@ -26,13 +26,13 @@ def hash_key(id_col: str, seed) -> Column:
     return F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
-    """Inner equi-join in which null keys (rows without a class) match each other."""
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys (rows without a class) match each other."""
     r = right
     for k in keys:
         r = r.withColumnRenamed(k, f"__r_{k}")
     cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def exact_class_rank(df: DataFrame, group_cols: list, id_col: str, seed,
@@ -71,8 +71,12 @@ def holdout_sizes(df: DataFrame, group_cols: list, label: str, test_fraction=0.2
     test size per class is the rest, so every class keeps rows on both sides
     when it can.  All arithmetic is on integers of the per-class counts.
     """
+    return sizes_of_counts(df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("n_class")), group_cols, label, test_fraction)
+
+
+def sizes_of_counts(counts: DataFrame, group_cols: list, label: str, test_fraction=0.2, keep: tuple = ()) -> DataFrame:
+    """``holdout_sizes`` of counted classes (group columns, class, ``n_class``), with the columns ``keep`` of them."""
     f = _fraction(test_fraction)
-    counts = df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("n_class"))
     g = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     c = counts.withColumn("n_total", F.sum("n_class").over(g))
     c = c.withColumn("n_test_total", F.expr(
@@ -88,7 +92,7 @@ def holdout_sizes(df: DataFrame, group_cols: list, label: str, test_fraction=0.2
         F.desc("rem"), F.col(label))
     c = c.withColumn("extra", (F.row_number().over(order) <= F.col("short")).cast("bigint"))
     return c.select(*group_cols, label, "n_class",
-                    (F.col("n_class") - F.col("base") - F.col("extra")).alias("n_test"))
+                    (F.col("n_class") - F.col("base") - F.col("extra")).alias("n_test"), *keep)
 
 
 def stratified_holdout(df: DataFrame, label: str, id_col: str, test_fraction=0.2, seed=42,
@@ -103,6 +107,43 @@ def stratified_holdout(df: DataFrame, label: str, id_col: str, test_fraction=0.2
             .withColumn("is_test", F.col("class_rank") <= F.col("n_test")))
 
 
+def holdout_by_threshold(df: DataFrame, label: str, id_col: str, test_fraction=0.2, seed=42, group_cols: list | None = None,
+                         seed_col: Column | None = None, hex_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+    """X2/X3 without ranks: the split of ``stratified_holdout`` as ``is_test`` only.
+
+    A class's test part is what lies at or before one (md5, id).  Counts of hash
+    prefixes, added up before their shuffle, tell in which bucket each class's
+    last test row lies; the rows of those buckets alone are shuffled and ordered
+    to find it.  All other rows are compared with their class's threshold where
+    they are, so a class of a third of all rows moves none but one bucket.
+
+    Ids are expected to be unique: rows that share one stay on one side (the
+    test part is larger then), and rows without an id count as of one id.  A
+    class whose share is nothing has no test row; an empty frame stays empty.
+    """
+    group_cols = list(group_cols or [])
+    keys = [*group_cols, label]
+    hashed = df.withColumn("__h", F.coalesce(hash_key(id_col, seed if seed_col is None else seed_col), F.lit("")))
+    hashed = hashed.withColumn("__b", F.substring("__h", 1, hex_digits))
+    counts = hashed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    # a class's buckets as an array, at most 16 ** hex_digits of them, beside its sizes: counted once
+    classes = counts.groupBy(*keys).agg(F.sum("__n").alias("n_class"), F.collect_list(F.struct("__b", "__n")).alias("__held"))
+    held = sizes_of_counts(classes, group_cols, label, test_fraction, keep=("__held",)).select(*keys, "n_test", F.inline("__held"))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (held.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+            .where("__before < n_test AND n_test <= __before + __n")
+            .select(*keys, F.col("__b").alias("__cut"), (F.col("n_test") - F.col("__before")).alias("__need")))
+    # one row for each class (and seed), as the sizes of stratified_holdout
+    edge = _join_null_safe(hashed.select(*keys, F.col(id_col).alias("__id"), "__h", "__b"), F.broadcast(cuts), keys).where("__b = __cut")
+    order = Window.partitionBy(*keys).orderBy("__h", "__id")
+    last = (edge.withColumn("__r", F.row_number().over(order)).where("__r = __need")
+            .select(*keys, F.col("__h").alias("__last"), F.col("__id").alias("__last_id")))
+    same = (F.col("__h") == F.col("__last")) & (F.col("__last_id").isNull() | (F.col(id_col) <= F.col("__last_id")))
+    return (_join_null_safe(hashed, F.broadcast(last), keys, "left")
+            .withColumn("is_test", F.coalesce((F.col("__h") < F.col("__last")) | same, F.lit(False)))
+            .drop("__h", "__b", "__last", "__last_id"))
+
+
 def check_min_class_size(df: DataFrame, label: str, minimum: int = 2, shown: int = 10) -> None:
     """Raise if a class has fewer than ``minimum`` rows: no split can have it on
     both sides.  The message names at most ``shown`` of them."""

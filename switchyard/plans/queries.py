@@ -351,7 +351,7 @@ def q_calibration_folds(spark, sf_dir):
 @query("split_leakage")
 def q_split_leakage(spark, sf_dir):
     hashed = pool(spark, sf_dir).select("id", "label", F.md5("text").alias("text_md5"))
-    return X.split_leakage(X.stratified_holdout(hashed, "label", "id", HOLDOUT_FRACTION, SPLIT_SEED), key="text_md5")
+    return X.split_leakage(X.holdout_by_threshold(hashed, "label", "id", HOLDOUT_FRACTION, SPLIT_SEED), key="text_md5")
 
 
 @query("class_weights")
@@ -438,7 +438,7 @@ def msgs_by_id(spark, sf_dir):
 def train_rows(spark, sf_dir):
     """(id, label) of the training side of the seed-42 holdout; the split is written once."""
     from switchyard.plans.materialize import materialized
-    split = materialized(spark, "holdout_split", sf_dir, lambda: X.stratified_holdout(
+    split = materialized(spark, "holdout_split", sf_dir, lambda: X.holdout_by_threshold(
         pool(spark, sf_dir).select("id", "label"), "label", "id", HOLDOUT_FRACTION, SPLIT_SEED).select("id", "label", "is_test"))
     return split.where(~F.col("is_test")).select("id", "label")
 

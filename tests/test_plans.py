@@ -35,6 +35,15 @@ def test_exact_rank_windows_are_bucketed(spark):
     assert "SinglePartition" not in p
 
 
+def test_threshold_split_moves_only_boundary_buckets(spark):
+    ranked, fast = (plan(f(QQ.pool(spark, SF0001).select("id", "label"), "label", "id")) for f in (X.stratified_holdout, X.holdout_by_threshold))
+    scans = [len(re.findall(r"^\(\d+\) Scan parquet", p, re.M)) for p in (ranked, fast)]
+    assert scans[1] <= scans[0]
+    # the rows themselves reach the result over joins with broadcasts only
+    tree = fast[:fast.index("\n\n")]
+    assert "SortMergeJoin" not in tree and "ShuffledHashJoin" not in tree.split("BroadcastExchange")[0]
+
+
 def test_word_counts_shuffle_text_once(spark):
     p = plan(TF.term_counts(QQ.msgs_by_id(spark, SF0001), TF.WORD))
     assert p.count("Exchange (") == 1 and "REPARTITION_BY_NUM" in p

@@ -36,6 +36,24 @@ def test_split_sizes_are_exact_and_deterministic(spark):
     assert s1.where("is_test").select("id").exceptAll(s3.where("is_test").select("id")).count() > 0
 
 
+def test_threshold_split_equals_the_ranked_one(spark):
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else "b") for i in range(2500)] + [(-1, "single"), (-2, "x"), (-3, "x")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    cols = ["id", "label", "is_test"]
+    for fraction, digits in ((0.2, 3), (0.2, 1), (0.0, 2), (1.0, 2), (0.5, 0)):
+        ranked = X.stratified_holdout(df, "label", "id", fraction, 42).select(cols)
+        fast = X.holdout_by_threshold(df, "label", "id", fraction, 42, hex_digits=digits)
+        assert fast.columns == cols and fast.count() == len(rows)
+        assert fast.exceptAll(ranked).count() == 0, (fraction, digits)
+    seeds = F.explode(F.array(F.lit(7), F.lit(19)))
+    both = X.holdout_by_threshold(df.withColumn("seed", seeds), "label", "id", group_cols=["seed"], seed_col=F.col("seed"))
+    ranked = X.repeated_holdout(df, "label", "id", (7, 19)).select("seed", *cols)
+    assert both.select("seed", *cols).exceptAll(ranked).count() == 0 and both.count() == 2 * len(rows)
+    assert X.holdout_by_threshold(df.limit(0), "label", "id").count() == 0
+    lost = df.withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")))  # half without an id: none is lost
+    assert X.holdout_by_threshold(lost, "label", "id").count() == len(rows)
+
+
 def test_repeated_holdout_and_folds(spark):
     df = frame(spark, {"a": 50, "b": 20})
     r = X.repeated_holdout(df, "label", "id", (7, 19, 42))
