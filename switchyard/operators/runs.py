@@ -34,16 +34,15 @@ def model_tree(probs: DataFrame, threshold: float, id_col: str = "id", truth: st
 
 
 def repeated_predictions(pool: DataFrame, seeds, label: str = "label", fraction: float = 0.2, cfg: TN.TrainConfig | None = None,
-                         tf_tables: dict | None = None, name: str = "repeated") -> DataFrame:
+                         texts: DataFrame | None = None, name: str = "repeated") -> DataFrame:
     """(seed, id, pred, confidence, truth): for each seed an exact stratified
     split, a vocabulary and a calibrated fit on its training part, and the
     predictions for its test part.  A pool (id, text, label) without rows has no class
     and raises."""
     spark = pool.sparkSession
-    tf_tables = tf_tables or {s.name: TF.term_counts(TF.partition_by_id(pool), s).persist() for s in TF.BLOCKS}
     out = None
     for seed in seeds:
-        probs, truth, _ = TN.holdout_train_score(pool, label, seed, fraction, cfg, tf_tables)
+        probs, truth, _ = TN.holdout_train_score(pool, label, seed, fraction, cfg, texts)
         path = scratch_path(spark, f"{spark.sparkContext.applicationId}/{name}-{seed}")
         best = E.argmax(probs).join(truth.select("id", F.col(label).alias("truth")), "id")
         best.select(F.lit(int(seed)).alias("seed"), "id", "pred", "confidence", "truth").write.mode("overwrite").parquet(path)

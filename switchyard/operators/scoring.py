@@ -85,12 +85,12 @@ def score(model: ScoringModel, messages: DataFrame) -> DataFrame:
 
 
 def fit_scoring_model(docs: DataFrame, label: str = "label", cfg: TN.TrainConfig | None = None,
-                      tf_tables: dict | None = None) -> ScoringModel:
+                      texts: DataFrame | None = None) -> ScoringModel:
     """M7: the production fit on every row of ``docs`` (id, text, label), as a
     model that can be saved, loaded and routed with."""
     cfg = cfg or TN.TrainConfig()
     docs = TF.partition_by_id(docs.select("id", "text", label))
-    vecs, index = TN.indexed_features(docs, docs, tf_tables, [label])
+    vecs, index = TN.indexed_features(docs, docs, texts, [label])
     ranked = X.exact_class_rank(vecs, [label], "id", cfg.seed)
     classes = C.class_list(ranked, label)
     models, params = TN.train_calibrated(ranked, label, classes, cfg)
