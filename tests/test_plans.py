@@ -47,3 +47,14 @@ def test_threshold_split_moves_only_boundary_buckets(spark):
 def test_word_counts_shuffle_text_once(spark):
     p = plan(TF.term_counts(QQ.msgs_by_id(spark, SF0001), TF.WORD))
     assert p.count("Exchange (") == 1 and "REPARTITION_BY_NUM" in p
+
+
+def test_lines_are_shuffled_once_by_order(spark):
+    from pyspark.sql import Row
+    from switchyard.plans import fixtures as FX
+    tables = type("T", (), {})()
+    tables.lineitem = spark.createDataFrame([
+        Row(l_orderkey=k, l_suppkey=s, l_shipdate="1996-01-02", l_returnflag="R") for k, s in ((1, 5), (1, 5), (1, 6), (2, None), (2, 7), (3, None))])
+    df = FX.lineitem_summary(tables)
+    assert plan(df).count("Exchange (") == 1 and "l_suppkey" not in str(plan(df).split("hashpartitioning(")[1][:40])
+    assert {r.l_orderkey: r.n_supp for r in df.collect()} == {1: 2, 2: 1, 3: 0} and dict(df.dtypes)["n_supp"] == "bigint"
